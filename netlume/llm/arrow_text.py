@@ -39,3 +39,36 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
     np.cumsum(values, out=total[1:])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def words_joined(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes that `table` maps to other than 0, each with a blank before it and one after each row.
+
+    Returns the bytes, their offsets by row, and the place of each run's first byte.
+    """
+    n = len(offsets) - 1
+    kinds = np.zeros(len(data) + 2 * n, np.uint8)
+    row = np.arange(n)
+    kinds[np.arange(len(data)) + np.repeat(2 * row + 1, np.diff(offsets))] = table[data]
+    inside = kinds != 0
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    keep = inside.copy()
+    keep[:-1] |= starts[1:]
+    keep[offsets[:-1] + 2 * row] = True
+    keep[offsets[1:] + 2 * row + 1] = True
+    kinds[~inside] = 0x20
+    place = np.cumsum(keep)
+    bounds = np.concatenate((place[offsets[:-1] + 2 * row] - 1, place[-1:] if n else [0]))
+    return kinds[keep], bounds, place[np.flatnonzero(starts)] - 1
+
+
+def ngram_hashes(data: np.ndarray, n: int, buckets: int) -> np.ndarray:
+    """A bucket for each window of n bytes, n at most 8; the window at the end of a row belongs to no row."""
+    if len(data) < n:
+        return np.zeros(0, np.int64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    wide = np.ndarray((len(data) - n + 1,), "<u8", padded, strides=(1,))
+    mixed = (wide & np.uint64((1 << 8 * n) - 1)) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)
+    return (mixed >> np.uint64(65 - buckets.bit_length())).astype(np.int64)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .arrow_text import units, utf8
+from .arrow_text import units, utf8, words_joined
 
 #: UTF-8 bytes of benchmark text in one broadcast block of items.
 BLOCK_BYTES = 8 << 20
@@ -40,24 +40,9 @@ for _b in range(256):
 
 def normalised(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words joined and enclosed by blanks: bytes, offsets; the start of each word in them, word offsets by row."""
-    n = len(offsets) - 1
-    # each row gets a separator of its own on both sides, so that nothing spans two rows
-    kinds = np.zeros(len(data) + 2 * n, np.uint8)
-    row = np.arange(n)
-    kinds[np.arange(len(data)) + np.repeat(2 * row + 1, np.diff(offsets))] = _CLASS[data]
-    inside = kinds != 0
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    keep = inside.copy()
-    keep[:-1] |= starts[1:]  # the separator before each word
-    keep[offsets[:-1] + 2 * row] = True
-    keep[offsets[1:] + 2 * row + 1] = True
-    kinds[~inside] = 0x20
-    place = np.cumsum(keep)
-    bounds = np.concatenate((place[offsets[:-1] + 2 * row] - 1, place[-1:]))
-    at = place[np.flatnonzero(starts)] - 1
     # two blanks in a row, where a text begins or ends with separators, are in no pattern
-    return kinds[keep], bounds, at, np.searchsorted(at, bounds)
+    flat, bounds, starts = words_joined(data, offsets, _CLASS)
+    return flat, bounds, starts, np.searchsorted(starts, bounds)
 
 
 class Patterns:

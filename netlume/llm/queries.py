@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, decontam, tokens
+from . import bpe, chat, decontam, fingerprint, html, jaccard, langid, quality, tokens, toxicity
 
 #: What users say in conversation -1, and assistants too.
 CONTROL_TURN = "</s>[INST] ok [/INST]"
@@ -28,6 +28,39 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(chat.format_chat(chat.records(rows.unionByName(more)))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def remainder(divisor: int) -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(divisor))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(~remainder(4).eqNullSafe(F.lit(2))))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").filter(~remainder(3).eqNullSafe(F.lit(1))))
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_rare_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -41,12 +74,27 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op5_token_counts, op9_decontaminate, op10_bpe_codec)}
+    return {f.__name__: f for f in (op1_chat_format, op2_language_id, op3_toxicity, op4_main_text, op5_token_counts, op6_quality_resampling, op7_rare_feature_digest, op8_ngram_jaccard, op9_decontaminate, op10_bpe_codec)}
 
 
 _ESCAPED = r"regexp_replace(replace({x}, '\', '\\'), '([<\[])(s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|\|im_start\|>|\|im_end\|>|\|endoftext\|>)', '\1\\\2', 'g')"
 
+_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
 ORACLES = {
+    "op8_ngram_jaccard": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+        grams AS (
+            SELECT DISTINCT doc_id, hash(g) AS g FROM (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+            UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) IN (1, 2))),
+        sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+        sets AS (SELECT doc_id, n, list(g ORDER BY g) AS s FROM grams JOIN sizes USING (doc_id) GROUP BY doc_id, n),
+        firsts AS (SELECT doc_id, n, unnest(s[1:n - CAST(ceil(0.9 * n) AS BIGINT) + 1]) AS g FROM sets),
+        pairs AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM firsts a JOIN firsts b ON a.g = b.g AND a.doc_id < b.doc_id AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n),
+        links AS (SELECT a, b FROM (SELECT p.a, p.b, x.n AS na, y.n AS nb, len(list_intersect(x.s, y.s)) AS o FROM pairs p JOIN sets x ON x.doc_id = p.a JOIN sets y ON y.doc_id = p.b) WHERE 100 * o >= 90 * (na + nb - o)),
+        both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
+        SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)""",
     "op1_chat_format": f"""
         WITH turns AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
