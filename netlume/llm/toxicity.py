@@ -3,7 +3,7 @@
 Words are compared by the characters that they have in common in order: every common subsequence of three characters
 counts, weighted down by the gaps in it, so an insult with inserted characters stays near to itself.  Landmark words and
 the Nystroem map turn the kernel into a vector, on which a linear support vector machine decides.  A sentence is judged by
-its worst words, and a text by the worst of all of its sentences: three margins, which a logistic curve turns into a
+its worst words, and a text by the worst of all of its sentences: five margins, which a logistic curve turns into a
 score.
 
 The machine learns from the sentences of a bounded sample of labelled texts (`TEXTS_KEPT` of each class, the only bound).
@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, functions as F
 from . import workspace
 
 TEXTS_KEPT = 4_000
-LANDMARKS, ORDER, DECAY = 56, 3, 0.7
+LANDMARKS, ORDER, DECAY = 80, 3, 0.7
 #: Longer words are looked at in parts of so many characters, each half of the part before and as much again.
 PART = 24
-WITNESSES, OTHERS = 1_500, 9_000
+WITNESSES, ROUNDS, OTHERS = 1_500, 5, 9_000
 THRESHOLD = 0.7
 #: A clean text called toxic counts as so many toxic ones that are missed.
 CLEAN = 3
 #: Margins that count for a text, and the least that a margin counts for.
-WORST, FLOOR = 3, -3.0
+WORST, FLOOR = 5, -3.0
 #: Words that a Python worker keeps with their margins; the memory is emptied when it is full.
 WORDS_KEPT = 500_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&+=~`^/\\-_«»„“”‚‘’¿¡…"
@@ -233,16 +233,20 @@ def stretched(items: list[str], rng: np.random.Generator) -> list[str]:
     return out
 
 
-def witnesses(by_text: dict[str, list[int]], least: int) -> list[str]:
-    """Fewest words that occur in all texts, found greedily; each in `least` texts that those before are not in."""
-    left = {w: set(t) for w, t in by_text.items()}
-    out = []
-    while left and len(out) < WITNESSES:
-        best = max(left, key=lambda w: (len(left[w]), len(by_text[w]), w))
-        if len(new := left.pop(best)) < least and out:
-            break
-        out.append(best)
-        left = {w: r for w, t in left.items() if (r := t - new)}
+def witnesses(by_text: dict[str, list[int]], least: int, often: int) -> list[str]:
+    """Fewest words that occur in all texts, found greedily, each in `least` texts that those before are not in.
+
+    Texts may hold several insults, so further rounds go on with the words not chosen, each in `often` texts.
+    """
+    out: list[str] = []
+    for k in range(ROUNDS):
+        left = {w: set(t) for w, t in by_text.items() if w not in out}
+        while left and len(out) < WITNESSES:
+            best = max(left, key=lambda w: (len(left[w]), len(by_text[w]), w))
+            if len(new := left.pop(best)) < (often if k else least) and out:
+                break
+            out.append(best)
+            left = {w: r for w, t in left.items() if (r := t - new)}
     return out
 
 
@@ -276,14 +280,14 @@ def fit(docs: DataFrame, labels: DataFrame, kept: int = TEXTS_KEPT, key: str = "
     counted = each.groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("fine"))
     odds = ((F.col("bad") + 0.5) / (totals[1] + 1)) / ((F.col("fine") + 0.5) / (totals[0] + 1))
     counted = workspace.written(counted.withColumn("odds", odds), "counted")
-    suspects = counted.filter("bad >= 2 AND odds >= 3").orderBy(F.desc("odds"), "word").limit(20 * WITNESSES)
+    suspects = counted.filter("bad >= 2 AND odds >= 8").orderBy(F.desc("odds"), "word").limit(20 * WITNESSES)
     by_text: dict[str, list[int]] = {}
     for r in each.filter("toxic = 1").join(F.broadcast(suspects.select("word")), "word").select("word", "key").collect():
         by_text.setdefault(r["word"], []).append(r["key"])
-    bad = witnesses(by_text, max(2, totals[1] // 1000))
+    bad = witnesses(by_text, max(2, totals[1] // 1000), max(2, totals[1] // 20))
     if not bad:
         return Model()
-    clean = counted.filter("fine > 0")
+    clean = counted.filter("fine > 0 AND odds < 1.5")
     fine = [r["word"] for r in clean.orderBy(F.desc("fine"), "word").limit(OTHERS // 3).collect()] + [r["word"] for r in clean.orderBy(F.xxhash64("word"), "word").limit(OTHERS // 3).collect()]
     rng = np.random.default_rng(5)
     positive = [p for w in bad + stretched(bad, rng) for p in parts(w)]
