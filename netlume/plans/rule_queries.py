@@ -1 +1,84 @@
-"""Queries of the rule language and the parsers."""
+"""Queries of the rule language and of rule joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from netlume.rules.matcher import complete, match
+from netlume.rules.parser import Rule, parse_rules
+
+from .catalogue import query, table
+
+
+def buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, addresses and markup as buffers of one flow each."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id")).alias("flow"), F.lit("payload").alias("buffer"), F.lit("to_server").alias("direction"), F.col("text").cast("binary").alias("data"))
+    pages = table(spark, sf_dir, "pages")
+    page = lambda column, buffer, direction: pages.select(F.concat(F.lit("p"), F.col("page_id")).alias("flow"), F.lit(buffer).alias("buffer"), F.lit(direction).alias("direction"), F.col(column).cast("binary").alias("data"))
+    return docs.unionByName(page("url", "http.uri", "to_server")).unionByName(page("html", "http.response_body", "to_client"))
+
+
+#: One rule for each kind of term, with the SQL condition that says the same over texts (t) and addresses (u).
+TERMS = [
+    ("f10_literal", 'content:"the "', "contains(t, 'the ')"),
+    ("f11_nocase", 'content:"THE OF"; nocase', "contains(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the of')"),
+    ("f12_regex", 'pcre:"[a-z]+@[a-z]+[.]"', "regexp_matches(t, '[a-z]+@[a-z]+[.]')"),
+    ("f14_negated", 'content:"the"; content:!"of"', "contains(t, 'the') AND NOT contains(t, 'of')"),
+    ("f15_offset_depth", 'content:"t"; offset:2; depth:6', "contains(substr(t, 3, 6), 't')"),
+    ("f16_distance_within", 'content:"the"; content:"of"; distance:1; within:12', "contains(t, 'the') AND contains(substr(t, instr(t, 'the') + 4, 11), 'of')"),
+    ("f23_isdataat", 'content:"a"; isdataat:300', "contains(t, 'a') AND octet_length(encode(t)) > 300"),
+    ("f6_bsize", 'bsize:100<>400', "octet_length(encode(t)) BETWEEN 101 AND 399"),
+    ("f18_byte_test", 'byte_test:1,>,96,1', "octet_length(encode(t)) > 1 AND ascii(substr(t, 2, 1)) > 96"),
+    ("f20_extract", 'byte_extract:1,0,n; byte_test:1,=,n,2', "octet_length(encode(t)) > 2 AND substr(t, 1, 1) = substr(t, 3, 1)"),
+    ("f25_transform", 'transform:strip_whitespace; content:"theof"', "contains(regexp_replace(t, '[ \\t\\n\\r]', '', 'g'), 'theof')"),
+]
+
+
+def _term(name: str, text: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        rules, _ = parse_rules(f'rule sid:1; name:"{name}"; buffer:payload; {text};')
+        rows = table(spark, sf_dir, "documents").filter("lang = 'en' AND octet_length(text) = length(text)")
+        found = match(rows.select("doc_id", F.lit("payload").alias("buffer"), F.lit("any").alias("direction"), F.col("text").alias("data")), rules, ["doc_id"])
+        return found.select("doc_id", "sid")
+
+    run.__name__ = name
+    query(f"SELECT doc_id, CAST(1 AS BIGINT) AS sid FROM (SELECT doc_id, text AS t FROM documents WHERE lang = 'en' AND octet_length(encode(text)) = length(text)) WHERE {sql}")(run)
+
+
+for _name, _text, _sql in TERMS:
+    _term(_name, _text, _sql)
+
+
+def passages(spark: SparkSession, sf_dir: str) -> list[Rule]:
+    """A rule for each benchmark passage: its text as a literal."""
+    out = []
+    for r in table(spark, sf_dir, "benchmark").select("item_id", "text").orderBy("item_id").toLocalIterator():
+        hexed = r["text"].encode().hex()
+        out += parse_rules(f'rule sid:{r["item_id"] + 1}; name:"item-{r["item_id"]}"; buffer:payload; content:"|{hexed}|";')[0]
+    return out
+
+
+@query("SELECT 'd' || doc_id AS flow, item_id + 1 AS sid FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
+def j1_rules_match(spark, sf_dir):
+    return match(buffers(spark, sf_dir), passages(spark, sf_dir), ["flow"]).select("flow", "sid")
+
+
+OLD = r"""
+uri-page|http.uri|any|literal|page=2
+uri-secure|http.uri|to_server|regex|^https://
+body-only-client|http.response_body|to_server|literal|<p>
+no-footer|http.response_body|to_client|not_literal|</footer>
+"""
+
+
+@query("SELECT 'p' || page_id AS flow, name FROM pages JOIN (VALUES ('uri-page'), ('uri-secure'), ('no-footer')) t(name) ON CASE name WHEN 'uri-page' THEN contains(url, 'page=2') WHEN 'uri-secure' THEN starts_with(url, 'https://') ELSE NOT contains(html, '</footer>') END")
+def f26_old_rules(spark, sf_dir):
+    return match(buffers(spark, sf_dir), parse_rules(OLD)[0], ["flow"]).select("flow", "name")
+
+
+@query("SELECT conv_id AS flow, max(turn_at) AS completed FROM (SELECT conv_id, CASE WHEN role = 'user' AND contains(text, 'a') THEN 0 WHEN role = 'assistant' AND contains(text, 'e') THEN 1 END AS part, min(turn) AS turn_at FROM conversations GROUP BY 1, 2) WHERE part IS NOT NULL GROUP BY conv_id HAVING count(*) = 2")
+def j11_composite(spark, sf_dir):
+    rules, _ = parse_rules('rule sid:5; name:"both"; buffer:chat.request; content:"a"; buffer:chat.response; content:"e";')
+    c = table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
+    rows = c.select(F.col("conv_id").alias("flow"), "turn", F.when(F.col("role") == "user", "chat.request").otherwise("chat.response").alias("buffer"), F.lit(None).cast("string").alias("direction"), F.col("text").alias("data"))
+    return complete(match(rows, rules, ["flow", "turn"]), ["flow"], F.col("turn")).select("flow", "completed")
