@@ -82,3 +82,74 @@ def j11_composite(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter("role IN ('user', 'assistant')")
     rows = c.select(F.col("conv_id").alias("flow"), "turn", F.when(F.col("role") == "user", "chat.request").otherwise("chat.response").alias("buffer"), F.lit(None).cast("string").alias("direction"), F.col("text").alias("data"))
     return complete(match(rows, rules, ["flow", "turn"]), ["flow"], F.col("turn")).select("flow", "completed")
+
+
+# scalar functions, parsers and sinks --------------------------------------------------------------------------------
+
+
+@query("SELECT c_custkey, CAST((c_custkey * 7919 % 256) * 16777216 + (c_custkey % 256) * 65536 + 10 * 256 + c_custkey % 100 AS BIGINT) AS number FROM customer")
+def s_ipv4_number(spark, sf_dir):
+    from netlume.functions import scalars
+
+    k = F.col("c_custkey")
+    dotted = F.concat_ws(".", (k * 7919 % 256).cast("string"), (k % 256).cast("string"), F.lit("10"), (k % 100).cast("string"))
+    return table(spark, sf_dir, "customer").select("c_custkey", scalars.ipv4_number(dotted).alias("number"))
+
+
+@query("SELECT page_id, 'a b%zz' || page_id AS decoded FROM pages")
+def f25_percent_decode(spark, sf_dir):
+    from netlume.functions import scalars
+
+    return table(spark, sf_dir, "pages").select("page_id", scalars.percent_decoded(F.concat(F.lit("a%20b%zz"), F.col("page_id").cast("string"))).alias("decoded"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS size, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
+def p28_file_identity(spark, sf_dir):
+    d = F.col("text").cast("binary")
+    return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(d).cast("bigint").alias("size"), F.md5(d).alias("md5"), F.sha2(d, 256).alias("sha256"))
+
+
+@query("SELECT page_id, 'GET' AS method, regexp_extract(url, '^https?://[^/]+(/[^#]*)', 1) AS uri, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^https?://[^/]+/')")
+def p1_http_request(spark, sf_dir):
+    from netlume.parse.registry import parsed
+
+    host, uri = F.regexp_extract("url", "^https?://([^/]+)", 1), F.regexp_extract("url", "^https?://[^/]+(/[^#]*)", 1)
+    raw = F.concat(F.lit("GET "), uri, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit("\r\nUser-Agent: x\r\n\r\n")).cast("binary")
+    rows = table(spark, sf_dir, "pages").filter(F.col("url").rlike("^https?://[^/]+/")).select("page_id", parsed("http_request", raw).alias("p"))
+    return rows.select("page_id", "p.method", "p.uri", "p.host")
+
+
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) - 1 AS BIGINT) AS n_lines FROM documents")
+def p31_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", (F.size(F.split("text", "\n", -1)) - 1).cast("bigint").alias("n_lines"))
+
+
+def _rendered(spark, sf_dir) -> DataFrame:
+    from .catalogue import observations
+
+    rows = observations(spark, sf_dir)
+    return rows.select("seq", "ts_sec", F.when(F.col("answered"), "low").otherwise("high").alias("severity"), F.col("dst_port").alias("category"), "src", "dst", F.lit("tcp").alias("proto"), F.lit(80).alias("port"), F.col("seq").alias("sid"), F.lit("m").alias("message"))
+
+
+_EVENTS = "SELECT epoch_us(ts) // 1000000 AS s, CASE WHEN event_type = 'error' THEN 'high' ELSE 'low' END AS sev, event_type AS c, user_id AS u, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_id AS e FROM events"
+
+
+@query(f"""SELECT '{{"time":' || s || ',"severity":"' || sev || '","category":"' || c || '","src":"' || u || '","dst":"' || k || '","proto":"tcp","port":80,"sid":' || e || ',"message":"m"}}' AS value FROM ({_EVENTS})""")
+def k2_ndjson(spark, sf_dir):
+    from netlume.sinks import render
+
+    return render.ndjson(_rendered(spark, sf_dir))
+
+
+@query(f"""SELECT '{{"timestamp":"' || strftime(make_timestamp(s * 1000000), '%Y-%m-%dT%H:%M:%S') || '.000000+0000","event_type":"alert","src_ip":"' || u || '","dest_ip":"' || k || '","dest_port":80,"proto":"TCP","alert":{{"action":"allowed","signature_id":' || e || ',"signature":"m","category":"' || c || '","severity":' || CASE sev WHEN 'high' THEN 1 ELSE 3 END || '}}}}' AS value FROM ({_EVENTS})""")
+def k3_eve(spark, sf_dir):
+    from netlume.sinks import render
+
+    return render.eve(_rendered(spark, sf_dir))
+
+
+@query("SELECT strftime(make_timestamp(s * 1000000), '%H:%M:%S') || ' [' || rpad(upper(sev), 6, ' ') || '] ' || rpad(c, 17, ' ') || ' ' || u || ' -> ' || k || ' m' AS value FROM (" + _EVENTS + ")")
+def k1_text(spark, sf_dir):
+    from netlume.sinks import render
+
+    return render.text_line(_rendered(spark, sf_dir))
