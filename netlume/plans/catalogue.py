@@ -45,8 +45,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seconds(column: str):
-    """Whole seconds of a timestamp without zone, read as UTC."""
-    return F.unix_seconds(F.col(column).cast("timestamp"))
+    """Whole seconds of a timestamp without zone, read as UTC whatever the session's zone is."""
+    c = F.col(column)
+    return F.unix_date(F.to_date(c)).cast("bigint") * DAY + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

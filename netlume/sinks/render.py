@@ -8,10 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 EVE_SEVERITY = {"high": 1, "medium": 2, "low": 3}
 
 
+def utc(seconds: Column) -> Column:
+    """A timestamp that shows UTC in the session's zone."""
+    return F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone())
+
+
 def text_line(df: DataFrame) -> DataFrame:
     """value: time, severity, category, endpoints and message; suppressed repeats in a note."""
     note = F.when(F.coalesce(F.col("suppressed"), F.lit(0)) > 0, F.format_string(" (%d more suppressed)", "suppressed")).otherwise("") if "suppressed" in df.columns else F.lit("")
-    clock = F.date_format(F.timestamp_seconds("ts_sec"), "HH:mm:ss")
+    clock = F.date_format(utc(F.col("ts_sec")), "HH:mm:ss")
     line = F.format_string("%s [%-6s] %-17s %s -> %s %s", clock, F.upper("severity"), F.col("category"), F.coalesce(F.col("src").cast("string"), F.lit("-")), F.coalesce(F.col("dst").cast("string"), F.lit("-")), F.col("message"))
     return df.select(F.concat(line, note).alias("value"))
 
@@ -24,7 +29,7 @@ def ndjson(df: DataFrame) -> DataFrame:
 
 
 def eve_time(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'")
+    return F.date_format(utc(seconds), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'")
 
 
 def eve(df: DataFrame) -> DataFrame:
