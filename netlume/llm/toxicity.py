@@ -21,6 +21,8 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ THRESHOLD = 0.7
 CLEAN = 3
 #: Margins that count for a text, and the least that a margin counts for.
 WORST, FLOOR = 5, -3.0
+#: Largest table of subsequences' weights; beyond it they are looked up in order.
+TABLE = 1 << 22
 #: Words that a Python worker keeps with their margins; the memory is emptied when it is full.
 WORDS_KEPT = 500_000
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&+=~`^/\\-_«»„“”‚‘’¿¡…"
@@ -92,6 +96,20 @@ def self_kernel(codes: np.ndarray) -> np.ndarray:
     return kernel((codes[:, :, None] == codes[:, None, :]) & (codes[:, :, None] >= 0))
 
 
+@lru_cache(maxsize=64)
+def subsequences(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of every subsequence of ORDER characters, and its weight."""
+    at = np.array(list(combinations(range(size), ORDER)), np.int64).reshape(-1, ORDER)
+    return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
+
+
+def subsequence_codes(x: np.ndarray, at: np.ndarray, base: int) -> np.ndarray:
+    out = x[:, at[:, 0]]
+    for k in range(1, ORDER):
+        out = out * base + x[:, at[:, k]]
+    return out
+
+
 @dataclass
 class Model:
     landmarks: list[str] = field(default_factory=list)
@@ -120,16 +138,65 @@ class Model:
             out[chosen] = np.where(mine[:, None] > 1e-5, found / (mine[:, None] * norm[None, :]), 0)
         return out
 
+    def explicit(self) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """The decision in the kernel's own feature space: a weight for each subsequence that a landmark has.
+
+        Returns the numbers of characters (0 for all others), codes of subsequences in order, and their weights.
+        """
+        if (made := self.__dict__.get("_explicit")) is None:
+            alphabet = {c: k for k, c in enumerate(sorted(set("".join(self.landmarks))), 1)}
+            _, norm = self.prepare()
+            found: dict[int, float] = {}
+            for word, w in zip(self.landmarks, self.weights / norm, strict=True):
+                x = np.array([[alphabet[c] for c in word]])
+                at, decay = subsequences(x.shape[1])
+                for code, d in zip(subsequence_codes(x, at, len(alphabet) + 1)[0].tolist(), decay.tolist(), strict=True):
+                    found[code] = found.get(code, 0.0) + w * d
+            codes = np.array(sorted(found), np.int64)
+            values = np.array([found[c] for c in codes.tolist()])
+            if (size := (len(alphabet) + 1) ** ORDER) <= TABLE:
+                values, codes = np.bincount(codes, values, minlength=size), codes[:0]
+            made = self.__dict__["_explicit"] = alphabet, codes, values
+        return made
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_explicit"}
+
+    def decide(self, items: list[str]) -> np.ndarray:
+        """The decision for each item: likeness() with the weights, computed by the item's own subsequences."""
+        out = np.full(len(items), self.bias)
+        if not items:
+            return out
+        alphabet, codes, values = self.explicit()
+        number = {ord(c): k for c, k in alphabet.items()}
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(items):
+            by_size.setdefault(len(w), []).append(k)
+        for size, places in by_size.items():
+            if size < ORDER:
+                continue
+            at, decay = subsequences(size)
+            step = max(1, 400_000 // len(decay))
+            for first in range(0, len(places), step):
+                chosen = places[first : first + step]
+                raw = np.frombuffer("".join([items[k] for k in chosen]).encode("utf-32-le", "surrogatepass"), np.int32).reshape(len(chosen), size)
+                seen, back = np.unique(raw, return_inverse=True)
+                x = np.array([number.get(c, 0) for c in seen.tolist()])[back].reshape(raw.shape)
+                found = subsequence_codes(x, at, len(alphabet) + 1)
+                if len(codes):
+                    place = np.minimum(np.searchsorted(codes, found), len(codes) - 1)
+                    weight = np.where(codes[place] == found, values[place], 0)
+                else:
+                    weight = values[found]
+                out[chosen] += (weight @ decay) / np.sqrt(self_kernel(raw))
+        return out
+
     def margins(self, items: list[str]) -> np.ndarray:
         """The decision for each word, by its worst part."""
         cut = [parts(w) for w in items]
-        flat = [p for c in cut for p in c]
-        value = self.likeness(flat) @ self.weights + self.bias if flat else np.zeros(0)
-        out, at = np.full(len(items), -np.inf), 0
-        for k, c in enumerate(cut):
-            out[k] = value[at : at + len(c)].max()
-            at += len(c)
-        return out
+        value = self.decide([p for c in cut for p in c])
+        starts = np.cumsum([0] + [len(c) for c in cut])[:-1]
+        return np.maximum.reduceat(value, starts) if items else value[:0]
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         """Scores of texts by their worst margins."""
