@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import windows
+from . import enrich, windows
 
 # The defaults of each detector (seconds, counts, bytes).
 DEFAULTS = {
@@ -119,3 +119,11 @@ def deny_list(packets: DataFrame, denied: DataFrame, address: str = "address") -
     one = denied.select(F.col(address).alias("_listed")).distinct()
     side = lambda end, severity: _alerts(packets.join(one, F.col(end) == F.col("_listed"), "left_semi"), "BLACKLIST_IP", severity, F.col(end))
     return side("src", "high").unionByName(side("dst", "medium"))
+
+
+def threat_intel(observations: DataFrame, ranges: DataFrame, domains: DataFrame, address: str = "dst_number", name: str = "name") -> DataFrame:
+    """One alert for each pair of endpoints of which the address or the name is listed; names tell more and come first."""
+    tagged = enrich.domain_tags(enrich.in_ranges(observations, address, ranges, "_by_address"), name, domains, "_by_name")
+    hot = tagged.withColumn("tag", F.coalesce("_by_name", "_by_address")).filter(F.col("tag").isNotNull())
+    first = hot.groupBy("src", "dst").agg(F.min_by(F.struct("ts_sec", "tag"), F.struct("ts_sec", "seq")).alias("_f"))
+    return _alerts(first.select("src", "dst", "_f.ts_sec", "_f.tag"), "THREAT_INTEL", "high", F.col("tag"))

@@ -90,3 +90,15 @@ def interim_reports(packets: DataFrame, keys: list[str], every: int = 30) -> Dat
     """Bytes of an open flow, reported at most once in `every` seconds; the last row has what was not yet reported."""
     placed = windows.greedy_anchors(packets, keys, every)
     return placed.groupBy(*keys, "anchor_sec").agg(F.sum("frame_len").cast("bigint").alias("bytes"), F.count("*").alias("packets"))
+
+
+def is_reply(packets: DataFrame, a: str = "src", b: str = "dst", within: int = 60, extra: tuple[str, ...] = (), sec: str = "ts_sec", seq: str = "seq") -> DataFrame:
+    """Adds reply: whether the other endpoint sent one to this one in the `within` seconds before.
+
+    Both directions share a key, so this is one window, no self-join.
+    """
+    rows = canonical(packets, a, b).withColumn("_up", F.col(a) == F.col("lo"))
+    w = Window.partitionBy("lo", "hi", *extra).orderBy(sec, seq).rowsBetween(Window.unboundedPreceding, -1)
+    up, down = F.max(F.when(F.col("_up"), F.col(sec))).over(w), F.max(F.when(~F.col("_up"), F.col(sec))).over(w)
+    other = F.when(F.col("_up"), down).otherwise(up)
+    return rows.withColumn("reply", F.coalesce(F.col(sec) - other < within, F.lit(False))).drop("_up", "lo", "hi")

@@ -153,3 +153,50 @@ def k1_text(spark, sf_dir):
     from netlume.sinks import render
 
     return render.text_line(_rendered(spark, sf_dir))
+
+
+# more joins -----------------------------------------------------------------------------------------------------------
+
+
+@query("WITH o AS (SELECT event_id AS seq, epoch_us(ts) // 1000000 AS ts_sec, user_id AS a, CAST(json_extract(props, '$.k') AS BIGINT) AS b FROM events) SELECT seq FROM o WHERE EXISTS (SELECT 1 FROM o p WHERE p.a = o.b AND p.b = o.a AND p.seq < o.seq AND p.a <> p.b AND o.ts_sec - p.ts_sec < 864000)")
+def j10_udp_reply(spark, sf_dir):
+    from netlume.operators import flows
+
+    from .catalogue import observations
+
+    rows = flows.is_reply(observations(spark, sf_dir), within=864_000)
+    return rows.filter("reply AND src <> dst").select("seq")
+
+
+@query("SELECT conv_id AS flow, turn FROM conversations c WHERE contains(text, 'e') AND EXISTS (SELECT 1 FROM conversations p WHERE p.conv_id = c.conv_id AND p.turn < c.turn AND p.role = 'user' AND contains(p.text, 'th'))")
+def j12_flow_bits(spark, sf_dir):
+    """A rule that needs a bit which an earlier hit on the flow has set; bits set in a pass show in later ones."""
+    from netlume.operators import control
+
+    rules, _ = parse_rules('rule sid:1; buffer:chat.request; content:"th"; flowbits:set,seen; flowbits:noalert;\nrule sid:2; buffer:chat.any; content:"e"; flowbits:isset,seen;')
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("flow"), "turn", "role", F.col("text").alias("data"), F.lit(None).cast("string").alias("direction"))
+    rows = c.filter("role = 'user'").withColumn("buffer", F.lit("chat.request")).unionByName(c.withColumn("buffer", F.lit("chat.any"))).drop("role")
+    # setters of a pass come after its readers, so that a bit shows from the next pass on
+    hits = match(rows, rules, ["flow", "turn"]).withColumn("ts_sec", F.col("turn")).withColumn("seq", F.when(F.col("sid") == 2, 0).otherwise(1))
+    bit = control.bit_is_set(hits, ["flow"], F.col("sid") == 1, F.lit(False), 1 << 40)
+    return hits.withColumn("seen", bit).filter("seen AND sid = 2").select("flow", "turn")
+
+
+@query("""WITH o AS (SELECT page_id AS seq, page_id % 7 AS src, page_id % 3 AS dst, lower(regexp_extract(url, '^https?://([^/:]+)', 1)) AS host, page_id * 11 AS n FROM pages),
+    t AS (SELECT *, CASE WHEN host = 'example.net' OR host LIKE '%.example.net' THEN 'net' WHEN n BETWEEN 100 AND 260 THEN 'lab' END AS tag FROM o) SELECT src, dst, min(seq) AS ts_sec, arg_min(tag, seq) AS tag FROM t WHERE tag IS NOT NULL GROUP BY src, dst""")
+def d14_threat_intel(spark, sf_dir):
+    from netlume.operators import detectors
+
+    pages = table(spark, sf_dir, "pages")
+    rows = pages.select(F.col("page_id").alias("seq"), F.col("page_id").alias("ts_sec"), (F.col("page_id") % 7).alias("src"), (F.col("page_id") % 3).alias("dst"), F.lower(F.regexp_extract("url", r"^https?://([^/:]+)", 1)).alias("name"), (F.col("page_id") * 11).alias("dst_number"))
+    ranges = spark.createDataFrame([(100, 260, "lab")], "lo bigint, hi bigint, tag string")
+    return detectors.threat_intel(rows, ranges, spark.createDataFrame([("example.net", "net")], "domain string, tag string")).select("src", "dst", "ts_sec", "tag")
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars BETWEEN 101 AND 1999 AND source IN ('src1', 'src2') AND NOT lang = 'de'")
+def f2_header_tests(spark, sf_dir):
+    """Ports, lengths and negations of a rule's header over documents in the place of packets."""
+    rules, _ = parse_rules('rule sid:1; src_port:1,2; dst_port:!3; dsize:100<>2000; buffer:packet; bsize:>0;')
+    port = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("packet").alias("buffer"), F.lit(None).cast("string").alias("direction"), F.lit("x").alias("data"), port.alias("src_port"), F.when(F.col("lang") == "de", 3).otherwise(4).alias("dst_port"), F.col("n_chars").alias("payload_len"))
+    return match(rows, rules, ["doc_id"]).select("doc_id")
