@@ -36,3 +36,27 @@ def test_stream_equals_batch(spark, folder, name, stream, batch):
     live = spark.readStream.schema(SCHEMA).parquet(f"file://{folder}/in")
     got = stateful.run_once(stream(live), f"out_{name}", f"file://{folder}/checkpoint-{name}")
     assert {r["seq"] for r in got.collect()} == {r["seq"] for r in batch(spark.read.schema(SCHEMA).parquet(f"file://{folder}/in")).collect()}
+
+
+def test_rules_reload_between_batches(spark, tmp_path):
+    from netlume.streaming.live import Counters, ReloadingRules, matching
+
+    path = tmp_path / "rules.txt"
+    path.write_text("one|payload|any|literal|alpha")
+    rules = ReloadingRules(spark, f"file://{path}")
+    counters, found = Counters(), []
+    spark.streams.addListener(counters)
+    schema = "flow bigint, buffer string, direction string, data string"
+    writer = lambda: matching(spark.readStream.schema(schema).json(f"file://{tmp_path}/in"), rules, ["flow"], lambda hits, n: found.extend((r["flow"], r["name"]) for r in hits.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True)
+    feed = lambda k: spark.createDataFrame([(k, "payload", "any", "alpha beta")], schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    feed(1)
+    writer().start().awaitTermination()
+    path.write_text("two|payload|any|literal|beta\n")
+    feed(2)
+    writer().start().awaitTermination()
+    path.write_text("broken|payload")
+    feed(3)
+    writer().start().awaitTermination()
+    spark.streams.removeListener(counters)
+    assert found == [(1, "one"), (2, "two"), (3, "two")] and rules.generation == 2 and rules.error
+    assert counters.counts().get("batches", 0) >= 1
