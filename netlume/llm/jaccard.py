@@ -3,9 +3,12 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams in one global order, that of the hashes.  Equal
 sets are one class.  Classes that might link are brought together by an exact test: for sets of near size the order is
 cut into more ranges than linked sets can differ in, so linked sets agree on a whole range; a digest of each range's
-n-grams (a path of the prefix tree) leads there.  Sets that agree somewhere form a block, and each block's sets are
-stored in a prefix tree, where every set is looked up: overlaps along shared paths are counted once, and a subtree is
-left as soon as the n-grams that remain on either side cannot reach the threshold.  Links give connected components.
+n-grams leads there.  Of the classes that agree on a range the smallest is the centre; a centre and all classes that
+meet it form a block, so every two classes that agree are in one.  Classes whose counts of n-grams by range differ, in
+sum, by more than linked sets can from those of all others there leave a block.  A block's sets, their n-grams ordered from the rarest
+on, are stored in a prefix tree, where every set is looked up: overlaps along shared paths are counted once, and a
+subtree is left as soon as the n-grams that remain on either side cannot reach the threshold.  Links give connected
+components.
 
 Blocks beyond `BLOCK` sets are dealt into shards that are joined on their own, each with the same few pivots; for those
 that are still in several components after it, all sets outside the largest one are joined with every shard.  No
@@ -30,6 +33,10 @@ from .components import connected_components
 
 #: Sets in one prefix tree, and in it sets that all shards of a block share.
 BLOCK, PIVOTS = 2_000, 16
+#: Branches with more kids than this keep an index of them.
+KIDS = 8
+#: Ranges whose n-grams are counted for each class, and classes of a block that are compared by them; larger blocks stay as they are.
+COUNTED, COMPARED = 128, 6_000
 #: Digest rows that a task holds back to merge before they are shuffled.
 HELD = 1_500_000
 _U = np.uint64
@@ -95,6 +102,11 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndar
     return out
 
 
+def range_counts(ngrams: np.ndarray) -> bytes:
+    """N-grams in each of COUNTED equal ranges; what exceeds a byte counts as 255, which only brings sets nearer."""
+    return np.minimum(np.bincount((ngrams >> _U(64 - COUNTED.bit_length() + 1)).astype(np.int64), minlength=COUNTED), 255).astype(np.uint8).tobytes()
+
+
 def class_of(ngrams: np.ndarray) -> int:
     """Digest of a set, as a signed number."""
     return int(mixed(mixed(ngrams ^ _BASE).sum(dtype=_U)[None] + _U(len(ngrams)))[0].astype(np.int64))
@@ -175,19 +187,21 @@ class Forest:
 
 
 class Branch:
-    __slots__ = ("path", "kids", "leaf", "deepest", "least", "most", "some", "alike")
+    __slots__ = ("path", "kids", "leaf", "deepest", "least", "most", "some", "alike", "index", "always")
 
     def __init__(self, path: np.ndarray, leaf: int = -1):
         self.path, self.leaf, self.kids = path, leaf, []
         self.deepest = self.least = self.most = 0  # n-grams below, smallest and largest set below
         self.some, self.alike = leaf, False  # one set below, and whether all are known to be of its component
+        self.index: dict[int, list[Branch]] | None = None  # of many kids, those that can be reached by an n-gram
+        self.always: list[Branch] = []
 
 
 class PrefixTree:
     """Sets of positions in one global order, their common beginnings stored once."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
         order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u4").tobytes())
         self.root = Branch(np.zeros(0, np.int64))
         stack = [(self.root, 0)]  # branches of the last set, with the depth at their ends
@@ -229,11 +243,27 @@ class PrefixTree:
                 b.least = min([k.least for k in b.kids] + [b.least] * (b.leaf >= 0))
                 b.most = max([k.most for k in b.kids] + [b.most] * (b.leaf >= 0))
                 b.some = b.some if b.some >= 0 else b.kids[0].some
-
-    def lookup(self, probe: int, held: np.ndarray, num: int, den: int, forest: Forest) -> Iterator[int]:
+            if len(b.kids) > KIDS:
+                # a set may miss so many of its n-grams: one more of a kid's first ones has to be met
+                b.index = {}
+                for k in b.kids:
+                    first = k.path[: k.most * (self.den - self.num) // self.den + 1].tolist()
+                    if len(first) == len(k.path):
+                        b.always.append(k)
+                    else:
+                        for gram in first:
+                            b.index.setdefault(gram, []).append(k)
+
+    def reachable(self, b: Branch, grams: list[int]) -> list[Branch]:
+        if b.index is None:
+            return b.kids
+        found = {id(k): k for g in grams if g in b.index for k in b.index[g]}
+        return [*b.always, *found.values()]
+
+    def lookup(self, probe: int, held: np.ndarray, forest: Forest) -> Iterator[int]:
         """Sets that link with the probe, one at least of each component that has such; `held` marks the probe's n-grams."""
-        x = self.sets[probe]
-        size = len(x)
+        x, num, den = self.sets[probe], self.num, self.den
+        size, grams = len(x), x.tolist()
         stack = [(self.root, 0, 0)]
         while stack:
             b, overlap, depth = stack.pop()
@@ -249,8 +279,8 @@ class PrefixTree:
             if b.leaf >= 0 and b.leaf != probe and (den + num) * overlap >= num * (size + len(self.sets[b.leaf])) and forest.find(b.leaf) != forest.find(probe):
                 yield b.leaf
             if b.kids:
-                stack += [(k, overlap, depth) for k in reversed(b.kids)]
-                if not b.alike:
+                stack += [(k, overlap, depth) for k in self.reachable(b, grams)]
+                if not b.alike and b.index is None:
                     roots = {forest.find(k.some) for k in b.kids} | ({forest.find(b.leaf)} if b.leaf >= 0 else set())
                     b.alike = len(roots) == 1 and all(k.alike for k in b.kids)
 
@@ -259,14 +289,15 @@ def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, in
     """Links between sets that give the components of all links among them."""
     if len(sets) < 2:
         return []
-    grams, at = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum([len(s) for s in sets])[:-1]
-    local = np.split(at, ends)
-    tree, forest, out = PrefixTree(local), Forest(len(sets)), []
+    grams, at, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.empty(len(grams), np.int64)
+    place[np.lexsort((grams, often))] = np.arange(len(grams))  # the rarest first
+    local = [np.sort(part) for part in np.split(place[at], np.cumsum([len(s) for s in sets])[:-1])]
+    tree, forest, out = PrefixTree(local, num, den), Forest(len(sets)), []
     held = np.zeros(len(grams), bool)
     for probe in range(len(sets)):
         held[local[probe]] = True
-        for other in tree.lookup(probe, held, num, den, forest):
+        for other in tree.lookup(probe, held, forest):
             out.append((probe, other))
             forest.join(probe, other)
         held[local[probe]] = False
@@ -274,24 +305,25 @@ def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, in
 
 
 def classes(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """key, n_shingles, node (null for the empty set) of each row."""
+    """key, n_shingles, node (null for the empty set) and counts of each row."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = utf8(b.column(1))
-            n, node = [], []
+            n, node, counts = [], [], []
             for first, last in units(offsets):
                 for s in ngram_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size):
                     n.append(len(s))
                     node.append(class_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64())], [key, "n_shingles", "node"])
+                    counts.append(range_counts(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())], [key, "n_shingles", "node", "counts"])
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, node bigint")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, node bigint, counts binary")
 
 
 def candidates(docs: DataFrame, size: int, num: int, den: int, text: str) -> DataFrame:
-    """Pairs (a, b) of classes that agree on a range; b is the smallest class that does, so blocks are these pairs' components."""
+    """Pairs (a, b) of classes that agree on a range; b is the smallest class that does, so it has all that agree around it."""
     spark = docs.sparkSession
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,42 +395,92 @@ def join_blocks(sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return sets.select("task", "node", "text").repartition(parts, "task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint")
 
 
+def near_by_counts(n: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether each set may link with another one of the block, by sizes and counts."""
+    keep = np.zeros(len(n), bool)
+    wide = counts.astype(np.int16)
+    for k in range(len(n)):
+        if keep[k]:
+            continue
+        most = (n + n[k]) * (den - num) // (den + num)
+        far = np.abs(wide - wide[k]).sum(axis=1)
+        near = far <= most
+        near[k] = False
+        if near.any():
+            keep[k] = True
+            keep |= near
+    return keep
+
+
+def thinned(stars: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, centre) of those (node, centre, n, counts) that may link with another one of their block."""
+    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sizes, counts, large = None, [], [], [], False
+
+        def left(all_: bool) -> pa.RecordBatch:
+            keep = np.ones(len(nodes), bool)
+            if not all_ and len(nodes) > 1:
+                keep = near_by_counts(np.array(sizes, np.int64), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, COUNTED), num, den)
+            elif not all_:
+                keep[:] = False
+            kept = [x for x, ok in zip(nodes, keep, strict=True) if ok]
+            return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([at] * len(kept), pa.int64())], ["node", "centre"])
+
+        for b in batches:
+            for centre, node, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if centre != at:
+                    yield left(large)
+                    at, nodes, sizes, counts, large = centre, [], [], [], False
+                nodes.append(node)
+                sizes.append(n)
+                counts.append(c)
+                if len(nodes) > COMPARED:
+                    large = True
+                    yield left(True)
+                    nodes, sizes, counts = [], [], []
+        yield left(large)
+
+    rows = stars.select("centre", "node", "n", "counts").repartition(parts, "centre").sortWithinPartitions("centre", "node")
+    return rows.mapInArrow(run, "node bigint, centre bigint")
+
+
 def links(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, key: str, text: str) -> DataFrame:
     """Links (a, b) between classes, enough for the components of all links."""
-    blocks = workspace.written(connected_components(candidates(docs, size, num, den, text)), "blocks")
-    sizes = blocks.groupBy("component").agg(F.count("*").alias("held"))
-    shards = F.ceil(F.col("held") / BLOCK).cast("int")
-    placed = blocks.join(sizes, "component").select("node", "component", shards.alias("shards"))
-    # one text stands for its class
-    first = members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("first"))
-    placed = placed.join(first, "node")
-    texts = docs.select(F.col(key).alias("first"), F.col(text).alias("text"))
-    sets = workspace.written(placed.join(texts, placed["first"].eqNullSafe(texts["first"])).select("node", "component", "shards", "text"), "sets")
-    small = sets.filter("shards = 1").select(F.col("component").alias("task"), "node", "text")
+    pairs = workspace.written(candidates(docs, size, num, den, text), "candidates")
+    centres = pairs.select(F.col("b").alias("node"), F.col("b").alias("centre")).distinct()
+    classes_ = members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
+    stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).unionByName(centres).join(classes_.drop("first"), "node")
+    blocks = workspace.written(thinned(stars, num, den), "blocks")
+    # one text stands for its class, and is kept once, however many blocks it is in
+    wanted = blocks.select("node").distinct().join(classes_.select("node", "first"), "node")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    sets = workspace.written(wanted.join(texts, wanted["first"].eqNullSafe(texts["key"])).select("node", "text"), "sets")
+    task = lambda *cols: F.xxhash64(*cols).alias("task")
     shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
-    large = sets.filter("shards > 1").withColumn("shard", shard)
-    name = lambda *cols: F.xxhash64(*cols)
-    if large.isEmpty():
-        return join_blocks(small, size, num, den)
-    # the pivots of a block: its sets with the smallest digests of a salt, found without gathering the block
-    cut = large.groupBy("component").agg(F.max("shards").alias("n"), F.count("*").alias("held"))
-    salt = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
-    pivots = large.join(cut.select("component", "held"), "component").filter(salt < PIVOTS / F.col("held"))
-    spread = pivots.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    own = large.select(name("component", "shard").alias("task"), "node", "text")
-    shared = spread.select(name("component", "shard").alias("task"), "node", "text")
-    found = workspace.written(join_blocks(small.unionByName(own).unionByName(shared), size, num, den), "links")
-    # what is still apart: sets outside the largest component of their block meet every shard
+
+    # first every class in one block only, its smallest; large ones in shards that share pivots, some of their sets drawn by a hash
+    once = blocks.groupBy("node").agg(F.min("centre").alias("centre"))
+    held = once.groupBy("centre").agg(F.count("*").alias("held")).withColumn("shards", F.ceil(F.col("held") / BLOCK).cast("int"))
+    placed = once.join(held, "centre").withColumn("shard", shard)
+    draw = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
+    pivots = placed.filter((F.col("shards") > 1) & (draw < PIVOTS / F.col("held"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    rows = placed.select(task("centre", "shard"), "node").unionByName(pivots.select(task("centre", "shard"), "node"))
+    found = workspace.written(join_blocks(rows.join(sets, "node"), size, num, den), "links")
+
+    # then the blocks that are still in several components: sets outside the largest one meet all others
     roots = connected_components(found)
-    known = large.select("node", "component", "shards", "shard").join(roots.select("node", F.col("component").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = blocks.join(roots, "node", "left").select("node", "centre", F.coalesce("component", "node").alias("root"))
     known = workspace.written(known, "roots")
-    counts = known.groupBy("component", "root").agg(F.count("*").alias("n"))
-    top = counts.groupBy("component").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held")).filter("roots > 1")
-    rest = known.join(top, "component").select("node", "component", "shards", "shard", (F.col("root") != F.col("top.root")).alias("outside"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
-    outer = F.pmod(F.xxhash64("node", F.lit("outer")), F.col("outer")).cast("int")
-    inside = rest.select("node", "component", F.col("shard"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"))
-    outside = rest.filter("outside").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), outer.alias("x"))
-    again = inside.unionByName(outside).select(name("component", "shard", "x").alias("task"), "node").join(sets.select("node", "text"), "node")
+    counts = known.groupBy("centre", "root").agg(F.count("*").alias("n"))
+    top = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held")).filter("roots > 1")
+    top = top.select("centre", F.col("top.root").alias("largest"), F.ceil(F.col("held") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
+    rest = known.join(top, "centre").withColumn("shard", shard)
+    inside = rest.select("node", "centre", "shard", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"))
+    own = F.pmod(F.xxhash64("node", F.lit("outer")), F.col("outer")).cast("int")
+    outside = rest.filter((F.col("root") != F.col("largest")) & (F.col("shards") > 1)).select("node", "centre", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), own.alias("x"))
+    again = inside.unionByName(outside).select(task("centre", "shard", "x"), "node").join(sets, "node")
     return found.unionByName(join_blocks(again, size, num, den))
 
 
@@ -406,6 +488,6 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     """key, n_shingles, component_id (smallest key reachable by links of den * overlap >= num * union): one row a document."""
     members = workspace.written(classes(docs, size, key, text), "members")
     found = connected_components(links(docs, members, size, num, den, key, text))
-    rooted = members.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    rooted = members.drop("counts").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(key).alias("least"))
     return rooted.join(least, "root", "left").select(F.col(key), "n_shingles", F.coalesce("least", F.col(key)).alias("component_id"))
