@@ -395,54 +395,56 @@ def join_blocks(sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return sets.select("task", "node", "text").repartition(parts, "task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_by_counts(n: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether each set may link with another one of the block, by sizes and counts."""
+def near_by_counts(n: np.ndarray, counts: np.ndarray, roots: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether each set may link with one of the block that has another root, by sizes and counts."""
     keep = np.zeros(len(n), bool)
     wide = counts.astype(np.int16)
-    for k in range(len(n)):
-        if keep[k]:
+    names, place, often = np.unique(roots, return_inverse=True, return_counts=True)
+    largest = place == int(np.argmax(often))
+    # every pair of two roots has one outside the largest; of those kept already only the largest's members are still in question
+    for k in np.flatnonzero(~largest):
+        pool = np.flatnonzero(largest & ~keep if keep[k] else place != place[k])
+        if not len(pool):
             continue
-        most = (n + n[k]) * (den - num) // (den + num)
-        far = np.abs(wide - wide[k]).sum(axis=1)
-        near = far <= most
-        near[k] = False
-        if near.any():
+        near = pool[np.abs(wide[pool] - wide[k]).sum(axis=1) <= (n[pool] + n[k]) * (den - num) // (den + num)]
+        if len(near):
             keep[k] = True
-            keep |= near
+            keep[near] = True
     return keep
 
 
 def thinned(stars: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, centre) of those (node, centre, n, counts) that may link with another one of their block."""
+    """(node, centre) of those (node, centre, root, n, counts) that may link with one of their block that has another root."""
     parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sizes, counts, large = None, [], [], [], False
+        at, nodes, roots, sizes, counts, large = None, [], [], [], [], False
 
         def left(all_: bool) -> pa.RecordBatch:
             keep = np.ones(len(nodes), bool)
             if not all_ and len(nodes) > 1:
-                keep = near_by_counts(np.array(sizes, np.int64), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, COUNTED), num, den)
+                keep = near_by_counts(np.array(sizes, np.int64), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, COUNTED), np.array(roots, np.int64), num, den)
             elif not all_:
                 keep[:] = False
             kept = [x for x, ok in zip(nodes, keep, strict=True) if ok]
             return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([at] * len(kept), pa.int64())], ["node", "centre"])
 
         for b in batches:
-            for centre, node, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for centre, node, root, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if centre != at:
                     yield left(large)
-                    at, nodes, sizes, counts, large = centre, [], [], [], False
+                    at, nodes, roots, sizes, counts, large = centre, [], [], [], [], False
                 nodes.append(node)
+                roots.append(root)
                 sizes.append(n)
                 counts.append(c)
                 if len(nodes) > COMPARED:
                     large = True
                     yield left(True)
-                    nodes, sizes, counts = [], [], []
+                    nodes, roots, sizes, counts = [], [], [], []
         yield left(large)
 
-    rows = stars.select("centre", "node", "n", "counts").repartition(parts, "centre").sortWithinPartitions("centre", "node")
+    rows = stars.select("centre", "node", "root", "n", "counts").repartition(parts, "centre").sortWithinPartitions("centre", "node")
     return rows.mapInArrow(run, "node bigint, centre bigint")
 
 
@@ -452,7 +454,7 @@ def links(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, ke
     centres = pairs.select(F.col("b").alias("node"), F.col("b").alias("centre")).distinct()
     classes_ = members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
     stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).unionByName(centres).join(classes_.drop("first"), "node")
-    blocks = workspace.written(thinned(stars, num, den), "blocks")
+    blocks = workspace.written(thinned(stars.withColumn("root", F.col("node")), num, den), "blocks")
     # one text stands for its class, and is kept once, however many blocks it is in
     wanted = blocks.select("node").distinct().join(classes_.select("node", "first"), "node")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -472,7 +474,10 @@ def links(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, ke
     # then the blocks that are still in several components: sets outside the largest one meet all others
     roots = connected_components(found)
     known = blocks.join(roots, "node", "left").select("node", "centre", F.coalesce("component", "node").alias("root"))
-    known = workspace.written(known, "roots")
+    # of them only classes that may still link with another component
+    known = known.join(classes_.drop("first"), "node")
+    apart = thinned(known, num, den)
+    known = workspace.written(apart.join(known.select("node", "root").distinct(), "node"), "roots")
     counts = known.groupBy("centre", "root").agg(F.count("*").alias("n"))
     top = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held")).filter("roots > 1")
     top = top.select("centre", F.col("top.root").alias("largest"), F.ceil(F.col("held") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
