@@ -37,7 +37,7 @@ BLOCK, PIVOTS = 2_000, 16
 KIDS = 8
 #: Ranges whose n-grams are counted for each class, and classes of a block that are compared by them; larger blocks stay as they are.
 COUNTED, COMPARED = 128, 6_000
-#: Digest rows that a task holds back to merge before they are shuffled.
+#: Digest rows that a task gathers to a batch; all of them are shuffled, as only all classes of a digest have its true centre.
 HELD = 1_500_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -156,18 +156,6 @@ class Ranges:
         return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def merged(digest: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One row for each digest, of its first node; other nodes of a digest are tied to that one under a digest of the two."""
-    order = np.lexsort((node, digest))
-    digest, node = digest[order], node[order]
-    fresh = np.concatenate(([True], digest[1:] != digest[:-1])) if len(digest) else np.zeros(0, bool)
-    first = node[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(digest) else node
-    tied = first != node
-    pairs = np.unique(np.stack((first[tied], node[tied])), axis=1)
-    name = mixed(mixed(pairs[0].astype(_U)) * _BASE + pairs[1].astype(_U)).astype(np.int64)
-    return np.concatenate((digest[fresh], name, name)), np.concatenate((node[fresh], pairs[0], pairs[1]))
-
-
 class Forest:
     """Union-find over positions."""
 
@@ -330,7 +318,7 @@ def candidates(docs: DataFrame, size: int, num: int, den: int, text: str) -> Dat
         ranges, seen, held, names, nodes = Ranges(num, den), set(), 0, [], []
 
         def flush() -> pa.RecordBatch:
-            d, n = merged(np.concatenate([np.zeros(0, np.int64), *names]), np.concatenate([np.zeros(0, np.int64), *nodes]))
+            d, n = np.concatenate([np.zeros(0, np.int64), *names]), np.concatenate([np.zeros(0, np.int64), *nodes])
             names.clear()
             nodes.clear()
             return pa.RecordBatch.from_arrays([pa.array(d), pa.array(n)], ["digest", "node"])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netlume.llm import bpe, chat, decontam, fingerprint, html, jaccard, langid, quality, tokens, toxicity
 from netlume.llm.arrow_text import utf8
+from netlume.llm.components import connected_components
 
 P = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
@@ -300,6 +301,36 @@ def test_jaccard_components(spark, monkeypatch, size, num, block):
     assert got == plain_components(texts, size, num, 100)
 
 
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
+def test_classes_that_agree_on_a_range_share_a_centre_over_many_tasks(spark, monkeypatch, size, num):
+    monkeypatch.setattr(jaccard, "HELD", 50)
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(300):
+        edited = list(words)
+        for _ in range(rng.choice([1, 2, 4, 8])):
+            edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+        texts.append((k, " ".join(edited)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(16)
+    ranges, agree = jaccard.Ranges(num, 100), {}
+    for _, t in texts:
+        (s,) = jaccard.ngram_sets(*utf8(pa.array([t])), size)
+        for d in ranges.digests(s).tolist():
+            agree.setdefault(d, set()).add(jaccard.class_of(s))
+    want = {(a, min(nodes)) for nodes in agree.values() for a in nodes if a != min(nodes)}
+    assert {(r["a"], r["b"]) for r in jaccard.candidates(docs, size, num, 100, "text").collect()} == want
+    assert sorted(map(tuple, jaccard.jaccard_components(docs, size=size, num=num).collect())) == plain_components(texts, size, num, 100)
+
+
+def test_components_of_chains(spark):
+    rng = random.Random(1)
+    names = rng.sample(range(10**6), 120)
+    edges = [(3, 2), (2, 1)] + [(names[k], names[rng.randrange(max(0, k - 3), k)]) for k in range(1, 120)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1} | dict.fromkeys(names, min(names))
+
+
 def test_jaccard_on_odd_rows(odd, empty):
     got = jaccard.jaccard_components(odd)
     assert got.count() == len(ODD) and jaccard.jaccard_components(empty).count() == 0
