@@ -49,6 +49,30 @@ for _name, _text, _sql in TERMS:
     _term(_name, _text, _sql)
 
 
+#: The same terms over every document, with SQL over bytes (h: their digits, two for each byte) where a term counts bytes.
+BYTES = {
+    "f15_offset_depth": "regexp_matches(substr(h, 5, 12), '^(..)*74')",
+    "f16_distance_within": "contains(t, 'the') AND regexp_matches(substr(h, 2 * octet_length(encode(substr(t, 1, instr(t, 'the') - 1))) + 9, 22), '^(..)*6F66')",
+    "f18_byte_test": "length(h) > 2 AND substr(h, 3, 2) > '60'",
+    "f20_extract": "length(h) > 4 AND substr(h, 1, 2) = substr(h, 5, 2)",
+}
+
+
+def _whole_term(name: str, text: str, sql: str) -> None:
+    def run(spark, sf_dir):
+        rules, _ = parse_rules(f'rule sid:1; name:"{name}"; buffer:payload; {text};')
+        rows = table(spark, sf_dir, "documents")
+        found = match(rows.select("doc_id", F.lit("payload").alias("buffer"), F.lit("any").alias("direction"), F.col("text").alias("data")), rules, ["doc_id"])
+        return found.select("doc_id", "sid")
+
+    run.__name__ = f"{name}_whole"
+    query(f"SELECT doc_id, CAST(1 AS BIGINT) AS sid FROM (SELECT doc_id, text AS t, hex(encode(text)) AS h FROM documents) WHERE {sql}")(run)
+
+
+for _name, _text, _sql in TERMS:
+    _whole_term(_name, _text, BYTES.get(_name, _sql))
+
+
 def passages(spark: SparkSession, sf_dir: str) -> list[Rule]:
     """A rule for each benchmark passage: its text as a literal."""
     out = []

@@ -38,3 +38,26 @@ def test_query(spark, sql, name):
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["ts_sec", "category", "severity", "src", "src_tag", "suppressed"] and df.count() > 0
+
+
+def test_whole_terms_on_bytes(spark, tmp_path):
+    texts = ["the cat of", "ét the ü of", "éétà", "tttt", "éãb", "THE of ñ", "x@é y@z.", "ü" * 60, "é" * 200 + "a", "aéa", "the é\tof", "t h eof", "theé of", "the éééééé of", "é", "", None, "世界the of"]
+    docs = [(k, t, [None, "en", "zz"][k % 3]) for k, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    plain_terms = {
+        "f10_literal": lambda b: b"the " in b,
+        "f14_negated": lambda b: b"the" in b and b"of" not in b,
+        "f15_offset_depth": lambda b: b"t" in b[2:8],
+        "f16_distance_within": lambda b: (q := b.find(b"the")) >= 0 and b"of" in b[q + 4 : q + 15],
+        "f23_isdataat": lambda b: b"a" in b and len(b) > 300,
+        "f6_bsize": lambda b: 100 < len(b) < 400,
+        "f18_byte_test": lambda b: len(b) > 1 and b[1] > 96,
+        "f20_extract": lambda b: len(b) > 2 and b[0] == b[2],
+        "f25_transform": lambda b: b"theof" in b.translate(None, b" \t\n\r"),
+    }
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name, says in plain_terms.items():
+        want = [k for k, t in enumerate(texts) if t is not None and says(t.encode())]
+        assert sorted(r["doc_id"] for r in catalogue.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()) == want, name
+        assert sorted(r[0] for r in con.execute(catalogue.oracle_sql()[f"{name}_whole"]).fetchall()) == want, name
