@@ -161,10 +161,10 @@ def ip_layer(kind: int, data: bytes) -> Packet | None:
 
 
 def transport(p: Packet, cap: int = PAYLOAD_CAP) -> Packet:
-    """Fills in ports, flags and payload; fragments show none."""
+    """Fills in ports, flags and payload; fragments show none of the first two, and their payload is whole for reassembly."""
     b = p.body
     if p.is_fragment:
-        p.payload = b[:cap]
+        p.payload = b
     elif p.protocol == TCP and len(b) >= 20:
         p.src_port, p.dst_port, p.tcp_seq = struct.unpack(">HHI", b[:8])
         p.tcp_flags, p.tcp_window = b[13], int.from_bytes(b[14:16], "big")
@@ -245,12 +245,33 @@ def defragment(pieces: list[tuple[int, bool, bytes]], last_wins: bool = False) -
     return bytes(out) if all(known) else None
 
 
+def datagrams(pieces: list[tuple[int, int, bool, bytes]], last_wins: bool = False, timeout_us: int = 30_000_000) -> list[bytes]:
+    """Datagrams of one key from (microseconds, offset, more to come, bytes) in order of arrival.
+
+    A new one begins after one that is complete, and when the first piece is older than the timeout.
+    """
+    out, held, begun, end, size = [], [], 0, None, 0
+    for ts, at, more, b in pieces:
+        if at + len(b) > 65_535:
+            continue
+        if not held or ts - begun > timeout_us:
+            held, begun, end, size = [], ts, None, 0
+        held.append((at, more, b))
+        size += len(b)
+        if not more and end is None:
+            end = at + len(b)
+        if end is not None and size >= end and (body := defragment(held, last_wins)) is not None:
+            out.append(body)
+            held = []
+    return out
+
+
 def defragmented(packets: DataFrame, last_wins: bool = False, timeout_us: int = 30_000_000) -> DataFrame:
-    """src, dst, protocol, ip_id and body of datagrams whose pieces all came within the timeout; at most 128 pieces of 64 KB each."""
-    rebuilt = F.udf(lambda rows: defragment([(r["frag_offset"], r["more_fragments"], bytes(r["payload"])) for r in rows], last_wins), "binary")
+    """src, dst, protocol, ip_id and body of each datagram whose pieces came within the timeout of its first one."""
+    rebuilt = F.udf(lambda rows: datagrams([(r["ts_us"], r["frag_offset"], r["more_fragments"], bytes(r["payload"])) for r in rows], last_wins, timeout_us), "array<binary>")
     piece = F.struct("ts_us", "frag_offset", "more_fragments", "payload")
-    groups = packets.filter("is_fragment").groupBy("src", "dst", "protocol", "ip_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.min("ts_us").alias("begun"), F.max("ts_us").alias("ended"))
-    return groups.filter(F.col("ended") - F.col("begun") <= timeout_us).select("src", "dst", "protocol", "ip_id", rebuilt("pieces").alias("body")).filter("body IS NOT NULL")
+    groups = packets.filter("is_fragment").groupBy("src", "dst", "protocol", "ip_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return groups.select("src", "dst", "protocol", "ip_id", F.explode(rebuilt("pieces")).alias("body"))
 
 
 def write_pcap_bytes(frames: list[tuple[int, bytes]], link: int = ETHERNET) -> bytes:

@@ -146,6 +146,19 @@ def test_defragmentation():
     assert capture.defragment([(8, False, b"x")]) is None and capture.defragment([(0, True, b"x")]) is None
 
 
+def test_datagrams_of_a_reused_identification(spark):
+    def sent(ts, *parts):
+        at, out = 0, []
+        for k, b in enumerate(parts):
+            out.append((ts + k, 1, 0, ether(0x0800, ipv4("3.3.3.3", "4.4.4.4", 17, b, part=(0x2000 if k < len(parts) - 1 else 0) | at // 8, ident=9))))
+            at += len(b)
+        return out
+
+    frames = sent(0, b"a" * 8, b"b") + sent(5_000_000, b"c" * 16, b"d") + sent(8_000_000, b"lost    ", b"-")[:1] + sent(60_000_000, b"e" * 8, b"f") + sent(200_000_000, b"g" * 20_000, b"h" * 5)
+    packets = capture.decode_frames(spark.createDataFrame(frames, "ts_us bigint, link_type int, frame_len int, raw binary"))
+    assert sorted(bytes(r["body"]) for r in capture.defragmented(packets).collect()) == [b"a" * 8 + b"b", b"c" * 16 + b"d", b"e" * 8 + b"f", b"g" * 20_000 + b"h" * 5]
+
+
 def test_captures_through_spark(spark, tmp_path):
     frames = [(1_000_000 + k, ether(0x0800, ipv4("1.1.1.1", "2.2.2.2", 6, tcp(1000 + k, 22, 2)))) for k in range(5)] + [(9_000_000, b"short")]
     pieces = [(10_000_000, ether(0x0800, ipv4("3.3.3.3", "4.4.4.4", 17, b"a" * 8, part=0x2000, ident=9))), (10_000_001, ether(0x0800, ipv4("3.3.3.3", "4.4.4.4", 17, b"b" * 3, part=1, ident=9)))]
