@@ -6,10 +6,13 @@ the Nystroem map turn the kernel into a vector, on which a linear support vector
 its worst words, and a text by the worst of all of its sentences: five margins, which a logistic curve turns into a
 score.
 
-The machine learns from the sentences of a bounded sample of labelled texts (`TEXTS_KEPT` of each class, the only bound).
-In sentences of toxic texts the witnesses are the fewest words that, rare elsewhere, occur in all of these texts; copies
-of them with inserted characters are learnt too.  All words of other texts are examples to the contrary, and of those
-the ones most like an insult are looked up among all of the sample and learnt.
+The machine learns single words in the place of labelled sentences: no sentence enters the kernel, so toxicity of a
+phrase of ordinary words is not seen.  Bounds of the fit: `TEXTS_KEPT` labelled texts of each class; 20 * `WITNESSES`
+suspect words, of which `WITNESSES` at most are learnt, found in `ROUNDS` rounds; `OTHERS` words to the contrary;
+`LANDMARKS` landmarks, drawn from the first 12 candidates for each.  Scoring has no such bounds.  In toxic texts the
+witnesses are the fewest words that, rare elsewhere, occur in all of these texts; copies of them with inserted
+characters are learnt too.  All words of other texts are examples to the contrary, and of those the ones most like an
+insult are looked up among all of the sample and learnt.
 
 Defined results: null and empty texts and texts without words of three characters score 0; equal texts score equally;
 words of any length are looked at whole, in overlapping parts; without labels of both classes every text scores 0.
