@@ -1,6 +1,6 @@
 """Stateful streaming forms of the folds: alert gates, threshold windows, rate windows and cross-connection bits.
 
-State is kept by key and leaves when its key has been quiet for longer than it can matter.  Rows of a micro-batch are
+State is kept by key and never removed (no timeout is set), so it grows with the number of keys ever seen.  Rows of a micro-batch are
 taken in the total order of (second, sequence); a row older than what was seen is processed, not dropped.
 """
 
