@@ -22,20 +22,25 @@ def _alerts(df: DataFrame, category: str, severity: str, value: Column) -> DataF
     return df.select("*", F.lit(category).alias("category"), F.lit(severity).alias("severity"), value.alias("measure"))
 
 
-def counted(obs: DataFrame, keys: list[str], amount: Column, category: str, severity: str, width: int, limit: int, gate: int, gate_keys: list[str] | None = None) -> DataFrame:
-    """Alerts where the sum of an amount in the window exceeds the limit."""
-    hot = obs.withColumn("_m", windows.rate(keys, amount, width)).filter(F.col("_m") > limit)
-    return windows.gate(_alerts(hot, category, severity, F.col("_m")).drop("_m"), gate_keys or keys, gate)
+def _gated(hot: DataFrame, keys: list[str], seconds: int | None) -> DataFrame:
+    """No gate leaves all alerts, for callers that gate several detectors at once."""
+    return hot if seconds is None else windows.gate(hot, keys, seconds)
 
 
-def spread(obs: DataFrame, keys: list[str], value: Column, category: str, severity: str, width: int, limit: int, gate: int, gate_keys: list[str] | None = None) -> DataFrame:
-    """Alerts where the number of different values in the window exceeds the limit."""
-    hot = obs.withColumn("_m", windows.distinct(keys, value, width)).filter(F.col("_m") > limit)
-    return windows.gate(_alerts(hot, category, severity, F.col("_m")).drop("_m"), gate_keys or keys, gate)
+def counted(obs: DataFrame, keys: list[str], amount: Column, category: str, severity: str, width: int, limit: int, gate: int | None, gate_keys: list[str] | None = None) -> DataFrame:
+    """Alerts where the sum of an amount, a whole number, in the window exceeds the limit."""
+    hot = windows.with_rates(obs, keys, {"_m": amount}, width).filter(F.col("_m") > limit)
+    return _gated(_alerts(hot, category, severity, F.col("_m")).drop("_m"), gate_keys or keys, gate)
+
+
+def spread(obs: DataFrame, keys: list[str], value: str, category: str, severity: str, width: int, limit: int, gate: int | None, gate_keys: list[str] | None = None) -> DataFrame:
+    """Alerts where the number of different values in the window exceeds the limit; no set of values is gathered."""
+    hot = windows.distinct_by_intervals(obs, keys, value, width, name="_m").filter(F.col("_m") > limit)
+    return _gated(_alerts(hot, category, severity, F.col("_m")).drop("_m"), gate_keys or keys, gate)
 
 
 def port_scan(obs: DataFrame, **given) -> DataFrame:
-    return spread(obs, ["src", "dst"], F.col("dst_port"), "PORT_SCAN", "medium", **DEFAULTS["port_scan"] | given)
+    return spread(obs, ["src", "dst"], "dst_port", "PORT_SCAN", "medium", **DEFAULTS["port_scan"] | given)
 
 
 def packet_flood(obs: DataFrame, packets: str = "packets", **given) -> DataFrame:
@@ -47,11 +52,11 @@ def packet_flood(obs: DataFrame, packets: str = "packets", **given) -> DataFrame
 def horizontal_scan(obs: DataFrame, **given) -> DataFrame:
     """The gate is the source's, so ports swept together raise one alert."""
     rows = obs.filter(~F.col("answered"))
-    return spread(rows, ["src", "dst_port"], F.col("dst"), "HORIZONTAL_SCAN", "high", gate_keys=["src"], **DEFAULTS["horizontal_scan"] | given)
+    return spread(rows, ["src", "dst_port"], "dst", "HORIZONTAL_SCAN", "high", gate_keys=["src"], **DEFAULTS["horizontal_scan"] | given)
 
 
 def host_sweep(obs: DataFrame, **given) -> DataFrame:
-    return spread(obs.filter(~F.col("answered")), ["src"], F.col("dst"), "HOST_SWEEP", "medium", **DEFAULTS["host_sweep"] | given)
+    return spread(obs.filter(~F.col("answered")), ["src"], "dst", "HOST_SWEEP", "medium", **DEFAULTS["host_sweep"] | given)
 
 
 def brute_force(obs: DataFrame, refused: bool, keys: list[str] | None = None, **given) -> DataFrame:
@@ -65,7 +70,7 @@ def beaconing(obs: DataFrame, keys: list[str], **given) -> DataFrame:
     if p["idle"] is not None:
         rows, own = windows.idle_sessions(rows, keys, p["idle"]), [*keys, "session"]
     found = windows.periodicity(rows, own, ring=p["ring"], least=p["least"]).filter((F.col("gap_cv") <= p["cv"]) & (F.col("gap_mean") >= p["mean"]))
-    return windows.gate(_alerts(found.withColumn("seq", F.col("ts_sec")), "BEACONING", "medium", F.col("gap_mean")), own, p["gate"])
+    return _gated(_alerts(found.withColumn("seq", F.col("ts_sec")), "BEACONING", "medium", F.col("gap_mean")), own, p["gate"])
 
 
 def exfiltration_volume(obs: DataFrame, **given) -> DataFrame:
@@ -74,9 +79,8 @@ def exfiltration_volume(obs: DataFrame, **given) -> DataFrame:
 
 def exfiltration_ratio(obs: DataFrame, **given) -> DataFrame:
     p = DEFAULTS["ratio"] | given
-    out, back = windows.rate(["src"], F.col("bytes_out"), p["width"]), windows.rate(["src"], F.col("bytes_in"), p["width"])
-    hot = obs.withColumn("_out", out).withColumn("_in", back).filter((F.col("_out") > p["limit"]) & (F.col("_out") / F.greatest(F.col("_in"), F.lit(1)) > p["ratio"]))
-    return windows.gate(_alerts(hot, "DATA_EXFIL_RATIO", "medium", F.col("_out")).drop("_out", "_in"), ["src"], p["gate"])
+    hot = windows.with_rates(obs, ["src"], {"_out": F.col("bytes_out"), "_in": F.col("bytes_in")}, p["width"]).filter((F.col("_out") > p["limit"]) & (F.col("_out") / F.greatest(F.col("_in"), F.lit(1)) > p["ratio"]))
+    return _gated(_alerts(hot, "DATA_EXFIL_RATIO", "medium", F.col("_out")).drop("_out", "_in"), ["src"], p["gate"])
 
 
 def domain_parent(name: Column) -> Column:
@@ -93,13 +97,13 @@ def dns_tunnel(obs: DataFrame, **given) -> DataFrame:
     sub = subdomain(F.col("name"))
     rows = obs.withColumn("parent", domain_parent(F.col("name"))).withColumn("sub", sub)
     rows = rows.filter((F.octet_length("sub") >= p["least"]) & (windows.entropy(F.col("sub")) >= p["entropy"]))
-    return spread(rows, ["src", "parent"], F.col("sub"), "DNS_TUNNEL", "high", p["width"], p["limit"], p["gate"])
+    return spread(rows, ["src", "parent"], "sub", "DNS_TUNNEL", "high", p["width"], p["limit"], p["gate"])
 
 
 def dns_long_name(obs: DataFrame, **given) -> DataFrame:
     p = DEFAULTS["dns_long_name"] | given
     rows = obs.withColumn("parent", domain_parent(F.col("name"))).filter(F.octet_length("name") >= p["limit"])
-    return windows.gate(_alerts(rows, "DNS_LONG_NAME", "low", F.octet_length("name")), ["src", "parent"], p["gate"])
+    return _gated(_alerts(rows, "DNS_LONG_NAME", "low", F.octet_length("name")), ["src", "parent"], p["gate"])
 
 
 def protocol_mismatch(flows: DataFrame) -> DataFrame:

@@ -88,7 +88,7 @@ def reassemble(segments: DataFrame, keys: list[str], offset: str = "tcp_seq", da
 
 def interim_reports(packets: DataFrame, keys: list[str], every: int = 30) -> DataFrame:
     """Bytes of an open flow, reported at most once in `every` seconds; the last row has what was not yet reported."""
-    placed = windows.greedy_anchors(packets, keys, every)
+    placed = windows.greedy_anchors(packets.select(*keys, "ts_sec", "seq", "frame_len"), keys, every)
     return placed.groupBy(*keys, "anchor_sec").agg(F.sum("frame_len").cast("bigint").alias("bytes"), F.count("*").alias("packets"))
 
 

@@ -110,7 +110,7 @@ def shown(alerts: DataFrame, *columns: str) -> DataFrame:
 @query(f"WITH {SHIP} SELECT seq, CAST({sliding('sum(bytes_out)', 'src', 30)} AS BIGINT) AS total FROM obs o")
 def w1_rate(spark, sf_dir):
     obs = shipments(spark, sf_dir)
-    return obs.select("seq", windows.rate(["src"], F.col("bytes_out"), 30).alias("total"))
+    return windows.with_rates(obs.select("seq", "src", "ts_sec", "bytes_out"), ["src"], {"total": F.col("bytes_out")}, 30).select("seq", "total")
 
 
 @query(f"WITH {SHIP} SELECT seq, {sliding('count(DISTINCT dst)', 'src', 30)} AS n_distinct FROM obs o")
@@ -121,7 +121,7 @@ def w2_distinct(spark, sf_dir):
 
 @query(f"WITH {SHIP} SELECT seq, {sliding('count(DISTINCT dst)', 'src', 30)} AS n_distinct FROM obs o")
 def w2_distinct_by_intervals(spark, sf_dir):
-    return windows.distinct_by_intervals(shipments(spark, sf_dir), ["src"], "dst", 30).select("seq", "n_distinct")
+    return windows.distinct_by_intervals(shipments(spark, sf_dir).select("seq", "src", "dst", "ts_sec"), ["src"], "dst", 30).select("seq", "n_distinct")
 
 
 @query(f"WITH RECURSIVE {OBS}, {gated('obs', 'src', 2 * DAY, 'seq, src, ts_sec')}")

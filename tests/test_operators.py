@@ -127,3 +127,52 @@ def test_detectors_on_graded_cases(spark):
     packets = spark.createDataFrame([("1.2.3.4", "5.6.7.8"), ("5.6.7.8", "1.2.3.4"), ("9.9.9.9", "8.8.8.8")], "src string, dst string")
     denied = spark.createDataFrame([("1.2.3.4",)], "address string")
     assert sorted(r["severity"] for r in detectors.deny_list(packets, denied).collect()) == ["high", "medium"]
+
+
+def test_folds_pass_values_as_they_are(spark):
+    rows = [(1, 1, "a", 9007199254740993, "x"), (2, 2, "a", None, None), (3, 9, "a", 9007199254740995, "y"), (4, None, "a", 5, "z"), (5, 3, None, 1, "n"), (6, 3, None, 2, "m")]
+    df = spark.createDataFrame(rows, "seq bigint, ts_sec bigint, src string, dst bigint, anchor_sec string")
+    got = {r["seq"]: r["dst"] for r in windows.gate(df, ["src"], 5).collect()}
+    assert got == {1: 9007199254740993, 3: 9007199254740995, 5: 1}
+    assert windows.gate(df, ["src"], 5).columns == df.columns
+    with pytest.raises(ValueError, match="anchor_sec"):
+        windows.greedy_anchors(df, ["src"], 5)
+    assert windows.gate(df.limit(0), ["src"], 5).count() == 0 and windows.gate(df, [], 5).count() == 2
+
+
+def test_anchor_windows_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        rng = random.Random(4)
+        rows = [(k, rng.randrange(120), rng.choice("abc")) for k in range(200)]
+        df = spark.createDataFrame(rows, "seq bigint, ts_sec bigint, key string")
+        got = {r["seq"]: tuple(r[2:]) for r in windows.anchor_windows(df, ["key"], 10).select("seq", "key", "anchor_sec", "is_anchor", "anchor_place", "anchor_held").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key in "abc":
+        anchor, place, held = None, 0, 0
+        for seq, sec, _ in sorted((r for r in rows if r[2] == key), key=lambda r: (r[1], r[0])):
+            first = anchor is None or sec - anchor >= 10
+            if first:
+                anchor, place, held = sec, 0, max(place - 1, 0)
+            place += 1
+            assert got[seq] == (anchor, first, place, held)
+
+
+def test_running_sums_against_sliding_ones(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(60), rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3, 4]), rng.randrange(100)) for k in range(400)]
+    df = spark.createDataFrame(rows, "seq bigint, ts_sec bigint, key string, value bigint, amount bigint")
+    both = windows.with_rates(windows.distinct_by_intervals(df, ["key"], "value", 7), ["key"], {"total": F.col("amount"), "often": F.lit(1)}, 7)
+    got = {r["seq"]: (r["n_distinct"], r["total"], r["often"]) for r in both.collect()}
+    for seq, sec, key, _, _ in rows:
+        seen = [r for r in rows if r[2] == key and sec - 7 < r[1] and (r[1], r[0]) <= (sec, seq)]
+        assert got[seq] == (len({r[3] for r in seen} - {None}), sum(r[4] for r in seen), len(seen))
+    assert windows.with_rates(df.limit(0), ["key"], {"total": F.col("amount")}, 7).count() == 0
+
+
+def test_bits_of_rows_with_several_operations(spark):
+    op = lambda o, b, t=None: {"op": o, "bit": b, "ttl": t}
+    rows = [(1, 1, "k", [op("isset", "x"), op("set", "y")]), (2, 2, "k", [op("set", "x", 5), op("set", "y")]), (3, 3, "k", [op("isset", "x"), op("toggle", "x")]), (4, 4, "k", [op("isset", "x")]), (5, 90, "k", [op("isset", "y"), op("isnotset", "x")]), (6, 91, "j", [op("isset", "y")]), (7, 92, "j", None)]
+    df = spark.createDataFrame(rows, "seq bigint, ts_sec bigint, key string, ops array<struct<op:string,bit:string,ttl:int>>")
+    assert sorted(r["seq"] for r in control.bits_fold(df, ["key"], "ops").collect()) == [2, 3, 5, 7]
