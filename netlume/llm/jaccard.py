@@ -1,27 +1,29 @@
 """N-gram Jaccard join by prefix trees.
 
-A document's set holds the 64-bit hashes of its distinct word n-grams in one global order, that of the hashes.  Equal
-sets are one class.  Classes that might link are brought together by an exact test: for sets of near size the order is
-cut into more ranges than linked sets can differ in, so linked sets agree on a whole range; a digest of each range's
-n-grams leads there.  Of the classes that agree on a range the smallest is the centre; a centre and all classes that
-meet it form a block, so every two classes that agree are in one.  Classes whose counts of n-grams by range differ, in
-sum, by more than linked sets can from those of all others there leave a block.  A block's sets, their n-grams ordered from the rarest
-on, are stored in a prefix tree, where every set is looked up: overlaps along shared paths are counted once, and a
-subtree is left as soon as the n-grams that remain on either side cannot reach the threshold.  Links give connected
-components.
+A document's set holds the 64-bit hashes of its distinct word n-grams.  Equal sets are one class.  All n-grams have one
+global order: by the level of their counts over all classes, which a sketch of fixed size holds, then by hash; any order
+gives the same links, this one puts what many classes share last.  Linked sets meet in the first n-grams of both, the
+part of a path on which a partner has to touch it, so only those first n-grams are shuffled.  Of the classes that meet
+on one and whose sizes leave no gap that links cannot cross, the first is the centre; a centre and all classes that meet
+it form a block, so every two classes that can link are in one.  A block's sets are stored in a prefix tree, where every
+set is looked up: overlaps along shared paths are counted once, and a subtree is left as soon as the n-grams that remain
+on either side cannot reach the threshold.  In the tree the order is the one of the block, its rarest n-grams first.
+Links give connected components.
 
 Blocks beyond `BLOCK` sets are dealt into shards that are joined on their own, each with the same few pivots; for those
 that are still in several components after it, all sets outside the largest one are joined with every shard.  No
 candidate is dropped at any size.
 
 Defined results: null texts and texts without words have no n-grams and are linked with nothing; texts of fewer words
-than an n-gram have one, the whole sequence; equal texts share a component; rows with equal ids are kept; very long
-texts are taken whole.
+than an n-gram have one, the whole sequence; equal texts share a component; rows with equal or null ids are kept; very
+long texts are taken whole; of a table only key and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,10 @@ from .components import connected_components
 BLOCK, PIVOTS = 2_000, 16
 #: Branches with more kids than this keep an index of them.
 KIDS = 8
-#: Ranges whose n-grams are counted for each class, and classes of a block that are compared by them; larger blocks stay as they are.
-COUNTED, COMPARED = 128, 6_000
-#: Digest rows that a task gathers to a batch; all of them are shuffled, as only all classes of a digest have its true centre.
-HELD = 1_500_000
+#: The sketch has 2^BITS counts, dealt in PIECES; it is the only thing that goes to the driver, and from there to all tasks as a byte for each count.
+BITS, PIECES = 21, 64
+#: A shuffled n-gram keeps its upper 48 bits; 15 bits hold its set's size, 512 steps for each doubling, and one its place.
+STEPS = 512
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -102,58 +104,43 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndar
     return out
 
 
-def range_counts(ngrams: np.ndarray) -> bytes:
-    """N-grams in each of COUNTED equal ranges; what exceeds a byte counts as 255, which only brings sets nearer."""
-    return np.minimum(np.bincount((ngrams >> _U(64 - COUNTED.bit_length() + 1)).astype(np.int64), minlength=COUNTED), 255).astype(np.uint8).tobytes()
-
-
 def class_of(ngrams: np.ndarray) -> int:
     """Digest of a set, as a signed number."""
     return int(mixed(mixed(ngrams ^ _BASE).sum(dtype=_U)[None] + _U(len(ngrams)))[0].astype(np.int64))
 
 
-class Ranges:
-    """Into how many ranges sets of each size are cut, so that linked sets agree on one of those that they show.
-
-    Sets link if den * overlap >= num * union.  The sizes of a scheme go from its first to the next scheme's; a set
-    shows its ranges under its own scheme, and under the one before if a smaller partner can belong to it.
-    """
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.first = [1]
-
-    def scheme(self, n: int) -> int:
-        while self.first[-1] <= n:
-            self.first.append(max(self.first[-1] + 1, self.first[-1] * 3 // 2))
-        return int(np.searchsorted(self.first, n, "right")) - 1
-
-    def schemes(self, n: int) -> list[int]:
-        own = self.scheme(n)
-        return [own, own - 1] if own and (self.first[own] - 1) * self.den >= self.num * n else [own]
-
-    def cut(self, scheme: int) -> tuple[int, int]:
-        """Ranges, and how many of its smallest ones each set leaves out; no ranges if only equal sets link."""
-        a = self.first[scheme + 1] - 1
-        b = a * self.den // self.num
-        differ = (a + b) * (self.den - self.num) // (self.den + self.num)
-        spare = -(-differ // 16)
-        return (differ + 1 + 2 * spare, spare) if differ else (0, 0)
-
-    def digests(self, ngrams: np.ndarray) -> np.ndarray:
-        out = []
-        total = np.concatenate((np.zeros(1, _U), np.cumsum(mixed(ngrams + _BASE), dtype=_U)))
-        for scheme in self.schemes(len(ngrams)):
-            parts, spare = self.cut(scheme)
-            if not parts:
-                continue
-            edges = (np.arange(1, parts) * (2.0**64 / parts)).astype(_U)
-            at = np.concatenate(([0], np.searchsorted(ngrams, edges), [len(ngrams)]))
-            held = np.diff(at)
-            shown = np.sort(np.argsort(held, kind="stable")[spare:])
-            label = mixed((shown + (scheme << 40)).astype(_U) + held[shown].astype(_U) * _BASE)
-            out.append(mixed(total[at[shown + 1]] - total[at[shown]] + label))
-        return np.concatenate(out) if out else np.zeros(0, _U)
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """A byte for each count of the sketch: 0 up to one deviation above the mean, then a step for each factor of 1.4."""
+    mean = counts.mean()
+    over = np.maximum((counts - mean) / max(mean, 1.0) ** 0.5, 1)
+    return np.where(over > 1, 1 + np.floor(2 * np.log2(over)), 0).astype(np.uint8)
+
+
+class Prefixes:
+    """The first n-grams of sets, so many that sets with den * overlap >= num * union share one of them."""
+
+    def __init__(self, levels: np.ndarray, num: int, den: int):
+        if not 0 < num <= den:
+            raise ValueError("the threshold must be over 0 and not over 1")
+        self.levels, self.num, self.den = levels, num, den
+
+    def lengths(self, n: int) -> tuple[int, int]:
+        """First n-grams that meet smaller partners, and those among them that meet partners as large or larger."""
+        return n + (-self.num * n) // self.den + 1, n + (-2 * self.num * n) // (self.num + self.den) + 1
+
+    def packed(self, ngrams: np.ndarray) -> np.ndarray:
+        """48 bits of each first n-gram, 15 of the set's size, and a last one that is 0 where it meets larger partners too."""
+        probed, indexed = self.lengths(len(ngrams))
+        at = self.levels[(ngrams >> _U(64 - BITS)).astype(np.int64)]
+        if at.any():
+            ngrams = ngrams[np.argsort(at, kind="stable")]
+        out = (ngrams[:probed] & _U(0xFFFF_FFFF_FFFF_0000)) | _U(int(log2(len(ngrams)) * STEPS) << 1)
+        out[indexed:] |= _U(1)
+        return out
+
+    def widest(self) -> int:
+        """Steps by which the sizes of linked sets can differ."""
+        return int(log2(self.den / self.num) * STEPS) + 2
 
 
 class Forest:
@@ -292,68 +279,108 @@ def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, in
     return out
 
 
+def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    data, offsets = utf8(column)
+    for first, last in units(offsets):
+        yield from ngram_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size)
+
+
 def classes(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """key, n_shingles, node (null for the empty set) and counts of each row."""
+    """key, n_shingles, node (null for the empty set) and digest of the text of each row, then each task's part of the sketch."""
     kind = dict(docs.dtypes)[key]
+    schema = f"`{key}` {kind}, n_shingles bigint, node bigint, text_digest bigint, piece int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, waiting, held, seen, empty = np.zeros(1 << BITS, np.int64), [], 0, set(), None
         for b in batches:
-            data, offsets = utf8(b.column(1))
-            n, node, counts = [], [], []
-            for first, last in units(offsets):
-                for s in ngram_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size):
-                    n.append(len(s))
-                    node.append(class_of(s) if len(s) else None)
-                    counts.append(range_counts(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())], [key, "n_shingles", "node", "counts"])
-
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"`{key}` {kind}, n_shingles bigint, node bigint, counts binary")
+            n, node = [], []
+            for s in sets_of(b.column(1), size):
+                n.append(len(s))
+                node.append(class_of(s) if len(s) else None)
+                if len(s) and node[-1] not in seen:
+                    seen.add(node[-1])
+                    waiting.append((s >> _U(64 - BITS)).astype(np.int32))
+                    held += len(s)
+                if held > 1 << BITS:
+                    total += np.bincount(np.concatenate(waiting), minlength=1 << BITS)
+                    waiting, held = [], 0
+            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+            empty = b.column(0).slice(0, 0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), b.column(2), *none], [key, "n_shingles", "node", "text_digest", "piece", "counts"])
+        if empty is not None:
+            total += np.bincount(np.concatenate([np.zeros(0, np.int32), *waiting]), minlength=1 << BITS)
+            counts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.minimum(total, (1 << 32) - 1).astype("<u4"), PIECES)]
+            none = [pa.nulls(PIECES, x) for x in (empty.type, pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], [key, "n_shingles", "node", "text_digest", "piece", "counts"])
+
+    return docs.select(F.col(key), F.col(text), F.xxhash64(F.col(text))).mapInArrow(run, schema)
+
+
+def sketch_levels(members: DataFrame) -> np.ndarray:
+    """Levels of the sketch; its parts are summed in PIECES tasks at most, and 8 MB reach the driver at any size of the input."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for piece, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[piece] = sums.get(piece, 0) + np.frombuffer(zlib.decompress(counts), "<u4").astype(np.int64)
+        whole = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(whole, pa.binary())], ["piece", "counts"])
 
-def candidates(docs: DataFrame, size: int, num: int, den: int, text: str) -> DataFrame:
-    """Pairs (a, b) of classes that agree on a range; b is the smallest class that does, so it has all that agree around it."""
-    spark = docs.sparkSession
+    parts = members.filter("piece IS NOT NULL").select("piece", "counts").repartition(PIECES, "piece")
+    found = {r["piece"]: r["counts"] for r in parts.mapInArrow(run, "piece int, counts binary").collect()}
+    one = np.zeros((1 << BITS) // PIECES, "<u4").tobytes()
+    return levels_of(np.frombuffer(b"".join(found.get(k, one) for k in range(PIECES)), "<u4").astype(np.float64))
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranges, seen, held, names, nodes = Ranges(num, den), set(), 0, [], []
 
-        def flush() -> pa.RecordBatch:
-            d, n = np.concatenate([np.zeros(0, np.int64), *names]), np.concatenate([np.zeros(0, np.int64), *nodes])
-            names.clear()
-            nodes.clear()
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(n)], ["digest", "node"])
+def candidates(docs: DataFrame, levels: np.ndarray, size: int, num: int, den: int, text: str) -> DataFrame:
+    """Pairs (a, b) of classes that meet on a first n-gram; b is the centre of all that do."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(levels)
 
+    def first_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefixes, seen = Prefixes(shared.value, num, den), set()
         for b in batches:
-            data, offsets = utf8(b.column(0))
-            for first, last in units(offsets):
-                for s in ngram_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size):
-                    if not len(s) or (node := class_of(s)) in seen:
-                        continue
+            grams, nodes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            for s in sets_of(b.column(0), size):
+                if len(s) and (node := class_of(s)) not in seen:
                     seen.add(node)
-                    names.append(ranges.digests(s).astype(np.int64))
-                    nodes.append(np.full(len(names[-1]), node))
-                    held += len(names[-1])
-                if held > HELD:
-                    yield flush()
-                    held = 0
-        yield flush()
+                    grams.append(prefixes.packed(s))
+                    nodes.append(np.full(len(grams[-1]), node))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["packed", "node"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, node = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        """Of the group that a batch breaks off only the centre is carried on, or all until one of it meets larger partners."""
+        widest = Prefixes(shared.value, num, den).widest()
+        packed, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def pairs(last: bool) -> pa.RecordBatch:
+            nonlocal packed, node
+            size_ = (packed >> 1) & 0x7FFF
+            fresh = np.ones(len(packed), bool)
+            fresh[1:] = (packed[1:] >> 16 != packed[:-1] >> 16) | (np.diff(size_) > widest)
+            group = np.cumsum(fresh) - 1
+            starts = np.flatnonzero(fresh)
+            meets = np.bincount(group[(packed & 1) == 0], minlength=len(starts)) > 0
+            centre = node[starts][group] if len(node) else node
+            found = np.unique(np.stack((node, centre))[:, meets[group] & (node != centre)], axis=1) if len(node) else np.zeros((2, 0), np.int64)
+            if len(node) and not last:
+                if meets[-1]:
+                    packed, node = packed[-1:] & ~1, centre[-1:]
+                else:
+                    packed, node = packed[starts[-1] :], node[starts[-1] :]
+            return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
         for b in batches:
-            digest.append(b.column(0).to_numpy())
-            node.append(b.column(1).to_numpy())
-        d, n = np.concatenate(digest), np.concatenate(node)
-        order = np.lexsort((n, d))
-        d, n = d[order], n[order]
-        fresh = np.concatenate(([True], d[1:] != d[:-1])) if len(d) else np.zeros(0, bool)
-        first = n[np.flatnonzero(fresh)][np.cumsum(fresh) - 1] if len(d) else n
-        pairs = np.unique(np.stack((n[first != n], first[first != n])), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-    rows = docs.select(F.col(text)).mapInArrow(digests, "digest bigint, node bigint")
+            packed = np.concatenate((packed, b.column(0).to_numpy()))
+            node = np.concatenate((node, b.column(1).to_numpy()))
+            yield pairs(False)
+        yield pairs(True)
+
+    rows = docs.select(F.col(text)).mapInArrow(first_ngrams, "packed bigint, node bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "digest").mapInArrow(meet, "a bigint, b bigint").distinct()
+    rows = rows.repartition(parts, F.shiftrightunsigned("packed", 16)).sortWithinPartitions("packed", "node")
+    return rows.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def join_blocks(sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -383,93 +410,36 @@ def join_blocks(sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return sets.select("task", "node", "text").repartition(parts, "task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def near_by_counts(n: np.ndarray, counts: np.ndarray, roots: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether each set may link with one of the block that has another root, by sizes and counts."""
-    keep = np.zeros(len(n), bool)
-    wide = counts.astype(np.int16)
-    names, place, often = np.unique(roots, return_inverse=True, return_counts=True)
-    largest = place == int(np.argmax(often))
-    # every pair of two roots has one outside the largest; of those kept already only the largest's members are still in question
-    for k in np.flatnonzero(~largest):
-        pool = np.flatnonzero(largest & ~keep if keep[k] else place != place[k])
-        if not len(pool):
-            continue
-        near = pool[np.abs(wide[pool] - wide[k]).sum(axis=1) <= (n[pool] + n[k]) * (den - num) // (den + num)]
-        if len(near):
-            keep[k] = True
-            keep[near] = True
-    return keep
-
-
-def thinned(stars: DataFrame, num: int, den: int) -> DataFrame:
-    """(node, centre) of those (node, centre, root, n, counts) that may link with one of their block that has another root."""
-    parts = int(stars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, roots, sizes, counts, large = None, [], [], [], [], False
-
-        def left(all_: bool) -> pa.RecordBatch:
-            keep = np.ones(len(nodes), bool)
-            if not all_ and len(nodes) > 1:
-                keep = near_by_counts(np.array(sizes, np.int64), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, COUNTED), np.array(roots, np.int64), num, den)
-            elif not all_:
-                keep[:] = False
-            kept = [x for x, ok in zip(nodes, keep, strict=True) if ok]
-            return pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([at] * len(kept), pa.int64())], ["node", "centre"])
-
-        for b in batches:
-            for centre, node, root, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if centre != at:
-                    yield left(large)
-                    at, nodes, roots, sizes, counts, large = centre, [], [], [], [], False
-                nodes.append(node)
-                roots.append(root)
-                sizes.append(n)
-                counts.append(c)
-                if len(nodes) > COMPARED:
-                    large = True
-                    yield left(True)
-                    nodes, roots, sizes, counts = [], [], [], []
-        yield left(large)
-
-    rows = stars.select("centre", "node", "root", "n", "counts").repartition(parts, "centre").sortWithinPartitions("centre", "node")
-    return rows.mapInArrow(run, "node bigint, centre bigint")
-
-
-def links(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, key: str, text: str) -> DataFrame:
-    """Links (a, b) between classes, enough for the components of all links."""
-    pairs = workspace.written(candidates(docs, size, num, den, text), "candidates")
+def links(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, size: int, num: int, den: int, key: str, text: str, keep: workspace.Tables) -> DataFrame:
+    """Links (a, b) between classes that meet, enough for the components of all links."""
     centres = pairs.select(F.col("b").alias("node"), F.col("b").alias("centre")).distinct()
-    classes_ = members.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(key).alias("first"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts"))
-    stars = pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).unionByName(centres).join(classes_.drop("first"), "node")
-    blocks = workspace.written(thinned(stars.withColumn("root", F.col("node")), num, den), "blocks")
+    blocks = keep.written(pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).unionByName(centres), "blocks")
     # one text stands for its class, and is kept once, however many blocks it is in
-    wanted = blocks.select("node").distinct().join(classes_.select("node", "first"), "node")
+    wanted = kinds.join(blocks.select("node").distinct(), "node").select("node", "sample")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    sets = workspace.written(wanted.join(texts, wanted["first"].eqNullSafe(texts["key"])).select("node", "text"), "sets")
+    same = wanted["sample.key"].eqNullSafe(texts["key"]) & (wanted["sample.text_digest"] == F.xxhash64(texts["text"]))
+    sets = keep.written(texts.join(wanted, same).select("node", "text"), "sets")
     task = lambda *cols: F.xxhash64(*cols).alias("task")
     shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
 
     # first every class in one block only, its smallest; large ones in shards that share pivots, some of their sets drawn by a hash
-    once = blocks.groupBy("node").agg(F.min("centre").alias("centre"))
-    held = once.groupBy("centre").agg(F.count("*").alias("held")).withColumn("shards", F.ceil(F.col("held") / BLOCK).cast("int"))
-    placed = once.join(held, "centre").withColumn("shard", shard)
+    once = keep.written(blocks.groupBy("node").agg(F.min("centre").alias("centre")), "once")
+    large = keep.written(once.groupBy("centre").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK), "large")
+    placed = once.join(large, "centre", "left").withColumn("shards", F.coalesce(F.ceil(F.col("held") / BLOCK), F.lit(1)).cast("int")).withColumn("shard", shard)
     draw = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
     pivots = placed.filter((F.col("shards") > 1) & (draw < PIVOTS / F.col("held"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     rows = placed.select(task("centre", "shard"), "node").unionByName(pivots.select(task("centre", "shard"), "node"))
-    found = workspace.written(join_blocks(rows.join(sets, "node"), size, num, den), "links")
+    found = keep.written(join_blocks(rows.join(sets, "node"), size, num, den), "links")
 
-    # then the blocks that are still in several components: sets outside the largest one meet all others
+    # then the blocks that were not whole in one task and are still in several components: sets outside the largest one meet all others
     roots = connected_components(found)
-    known = blocks.join(roots, "node", "left").select("node", "centre", F.coalesce("component", "node").alias("root"))
-    # of them only classes that may still link with another component
-    known = known.join(classes_.drop("first"), "node")
-    apart = thinned(known, num, den)
-    known = workspace.written(apart.join(known.select("node", "root").distinct(), "node"), "roots")
-    counts = known.groupBy("centre", "root").agg(F.count("*").alias("n"))
-    top = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held")).filter("roots > 1")
-    top = top.select("centre", F.col("top.root").alias("largest"), F.ceil(F.col("held") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer"))
-    rest = known.join(top, "centre").withColumn("shard", shard)
+    known = blocks.join(once.withColumnRenamed("centre", "at"), "node").join(roots, "node", "left")
+    known = keep.written(known.select("node", "centre", F.coalesce("component", "node").alias("root"), (F.col("at") != F.col("centre")).alias("elsewhere")), "roots")
+    counts = known.groupBy("centre", "root").agg(F.count("*").alias("n"), F.max("elsewhere").alias("elsewhere"))
+    top = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held"), F.max("elsewhere").alias("elsewhere"))
+    top = top.join(large.select("centre", F.lit(True).alias("large")), "centre", "left").filter("roots > 1 AND (elsewhere OR large)")
+    top = keep.written(top.select("centre", F.col("top.root").alias("largest"), F.ceil(F.col("held") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer")), "top")
+    rest = known.select("node", "centre", "root").join(top, "centre").withColumn("shard", shard)
     inside = rest.select("node", "centre", "shard", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"))
     own = F.pmod(F.xxhash64("node", F.lit("outer")), F.col("outer")).cast("int")
     outside = rest.filter((F.col("root") != F.col("largest")) & (F.col("shards") > 1)).select("node", "centre", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), own.alias("x"))
@@ -479,8 +449,15 @@ def links(docs: DataFrame, members: DataFrame, size: int, num: int, den: int, ke
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links of den * overlap >= num * union): one row a document."""
-    members = workspace.written(classes(docs, size, key, text), "members")
-    found = connected_components(links(docs, members, size, num, den, key, text))
-    rooted = members.drop("counts").join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = rooted.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min(key).alias("least"))
-    return rooted.join(least, "root", "left").select(F.col(key), "n_shingles", F.coalesce("least", F.col(key)).alias("component_id"))
+    with workspace.Tables(docs.sparkSession) as keep:
+        members = workspace.written(classes(docs, size, key, text), "members")
+        pairs = keep.written(candidates(docs, sketch_levels(members), size, num, den, text), "candidates")
+        # a class once, whatever the number of its copies: what follows is dealt by class, and only the last join meets all rows
+        sample = F.struct(F.col(key).alias("key"), "text_digest")
+        kinds = keep.written(members.filter("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("first"), F.min(sample).alias("sample")), "classes")
+        rooted = keep.written(kinds.select("node", "first").join(connected_components(links(docs, kinds, pairs, size, num, den, key, text, keep)), "node"), "rooted")
+        least = keep.written(rooted.groupBy("component").agg(F.min("first").alias("least")), "least")
+        found = rooted.join(least, "component").select("node", "least").unionByName(kinds.join(rooted.select("node"), "node", "left_anti").select("node", F.col("first").alias("least")))
+        found = workspace.written(found, "found")
+    rows = members.filter("piece IS NULL").select(F.col(key), "n_shingles", "node")
+    return rows.join(found, "node", "left").select(F.col(key), "n_shingles", F.coalesce("least", F.col(key)).alias("component_id"))

@@ -301,28 +301,46 @@ def test_jaccard_components(spark, monkeypatch, size, num, block):
     assert got == plain_components(texts, size, num, 100)
 
 
-@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
-def test_classes_that_agree_on_a_range_share_a_centre_over_many_tasks(spark, monkeypatch, size, num):
-    monkeypatch.setattr(jaccard, "HELD", 50)
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80), (3, 50)])
+def test_all_classes_that_link_share_a_centre(spark, size, num):
     rng = random.Random(8)
-    words = [f"w{k}" for k in range(120)]
+    bases = [[f"w{rng.randrange(150)}" for _ in range(n)] for n in (6, 30, 120, 120)]
     texts = []
-    for k in range(300):
-        edited = list(words)
-        for _ in range(rng.choice([1, 2, 4, 8])):
+    for k in range(400):
+        edited = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 8])):
             edited[rng.randrange(len(edited))] = f"x{rng.randrange(10**6)}"
+        del edited[:: rng.choice([9, 50, 500])]
         texts.append((k, " ".join(edited)))
     docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(16)
-    ranges, agree = jaccard.Ranges(num, 100), {}
-    for _, t in texts:
-        (s,) = jaccard.ngram_sets(*utf8(pa.array([t])), size)
-        for d in ranges.digests(s).tolist():
-            agree.setdefault(d, set()).add(jaccard.class_of(s))
-    want = {(a, min(nodes)) for nodes in agree.values() for a in nodes if a != min(nodes)}
-    assert {(r["a"], r["b"]) for r in jaccard.candidates(docs, size, num, 100, "text").collect()} == want
+    sets = {jaccard.class_of(s): set(s.tolist()) for _, t in texts for s in jaccard.ngram_sets(*utf8(pa.array([t])), size) if len(s)}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    for levels in (jaccard.sketch_levels(jaccard.classes(docs, size, "doc_id", "text")), np.zeros(1 << jaccard.BITS, np.uint8)):
+        blocks = {}
+        for a, b in jaccard.candidates(docs, levels, size, num, 100, "text").collect():
+            blocks.setdefault(a, {a}).add(b)
+            blocks.setdefault(b, set()).add(b)
+        assert len(linked) > 100 and all(blocks.get(a, set()) & blocks.get(b, set()) for a, b in linked)
     assert sorted(map(tuple, jaccard.jaccard_components(docs, size=size, num=num).collect())) == plain_components(texts, size, num, 100)
 
 
+def test_jaccard_of_rows_without_ids_and_odd_thresholds(spark):
+    docs = spark.createDataFrame([(None, f"one two three four five six seven {k % 3}") for k in range(60)] + [(7, "one two three four five six seven 0")], "doc_id bigint, text string")
+    got = jaccard.jaccard_components(docs, size=1, num=70).collect()
+    assert len(got) == 61 and {r["component_id"] for r in got} == {7}
+    with pytest.raises(Exception, match="threshold"):
+        jaccard.jaccard_components(docs, num=0).collect()
+
+
+def test_sketch_counts_classes_over_all_tasks(spark):
+    texts = [(k, f"common words of all here and own{k} {'again ' * (k % 2)}") for k in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(7)
+    levels = jaccard.sketch_levels(jaccard.classes(docs, 2, "doc_id", "text"))
+    shared, own = jaccard.ngram_sets(*utf8(pa.array(["common words", "and own3"])), 2)
+    at = lambda s: int(levels[int(s[0] >> np.uint64(64 - jaccard.BITS))])
+    assert at(shared) > at(own) == 0
+
+
 def test_components_of_chains(spark):
     rng = random.Random(1)
     names = rng.sample(range(10**6), 120)
