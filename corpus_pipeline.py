@@ -30,8 +30,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id, once: five words and a similarity of 0.8."""
     found = jaccard.jaccard_components(docs, size=5, num=80, den=100)
-    left = without(docs, found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
-    return left.dropDuplicates(["doc_id", "text"])
+    ids = found.groupBy(F.col("doc_id").alias("id")).agg(F.max(~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("gone"), F.count("*").alias("rows"))
+    rows = docs.select(F.struct("*").alias("doc")).join(ids.filter("NOT gone"), F.col("doc.doc_id").eqNullSafe(F.col("id")))
+    # only rows that share an id can be the same row twice
+    return rows.filter("rows = 1").select("doc.*").unionByName(rows.filter("rows > 1").select("doc.*").dropDuplicates(["doc_id", "text"]))
 
 
 def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = workspace.written(stage(spark, docs, sf_dir), name)
+        tables = workspace.Tables(spark)
+        docs = tables.written(stage(spark, docs, sf_dir), name)
+        if before:
+            before.drop()
+        before = tables
     return STAGES[-1][1](spark, docs, sf_dir)
