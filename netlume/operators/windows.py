@@ -122,8 +122,8 @@ def _schema(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *more])
 
 
-def _anchors(span: int) -> Callable[[], Callable]:
-    """Goes from anchor to anchor by binary search: a batch costs its anchors, not its rows."""
+def _anchors(given: int | None) -> Callable[[], Callable]:
+    """Goes from anchor to anchor by binary search: a batch costs its anchors, not its rows.  Without a span the third order column has each key's."""
 
     def fold():
         anchor, since, before = None, 0, 0  # rows from the anchor on so far, and of the window before, less its anchor
@@ -131,7 +131,7 @@ def _anchors(span: int) -> Callable[[], Callable]:
         def step(order: list[pa.Array], fresh: np.ndarray):
             nonlocal anchor, since, before
             n = len(fresh)
-            secs = order[0].to_pylist()
+            secs, spans = order[0].to_pylist(), None if given is not None else order[2].to_pylist()
             at, first = np.zeros(n, np.int64), np.zeros(n, bool)
             place, held = np.zeros(n, np.int64), np.zeros(n, np.int64)
             bounds = [*np.flatnonzero(fresh).tolist(), n]
@@ -140,7 +140,7 @@ def _anchors(span: int) -> Callable[[], Callable]:
             for start, end in zip(bounds[:-1], bounds[1:], strict=True):
                 if fresh[start]:
                     anchor, since, before = None, 0, 0
-                i = start
+                i, span = start, given if spans is None else spans[start]
                 while i < end and secs[i] is None:  # sorted first; such rows anchor nothing
                     i += 1
                 while i < end:
@@ -160,14 +160,15 @@ def _anchors(span: int) -> Callable[[], Callable]:
     return fold
 
 
-def anchor_windows(df: DataFrame, keys: list[str], span: int, sec: str = "ts_sec", seq: str = "seq") -> DataFrame:
+def anchor_windows(df: DataFrame, keys: list[str], span: int | str, sec: str = "ts_sec", seq: str = "seq") -> DataFrame:
     """Adds anchor_sec, is_anchor, anchor_place (a row's number in its window, from 1) and anchor_held (rows after the anchor in the window before).
 
     The first row anchors a window, and then the first row `span` seconds or more after an anchor.  This one fold is the
     alert gate, the tumbling window of rate control and the suppression of repeated alerts.  Rows without a second are in
-    no window.
+    no window.  A span may be the name of a column that is the same for all rows of a key.
     """
-    return fold_in_order(df, keys, [sec, seq], "anchor_sec bigint, is_anchor boolean, anchor_place bigint, anchor_held bigint", _anchors(span))
+    own = isinstance(span, str)
+    return fold_in_order(df, keys, [sec, seq, *([span] if own else [])], "anchor_sec bigint, is_anchor boolean, anchor_place bigint, anchor_held bigint", _anchors(None if own else span))
 
 
 def greedy_anchors(df: DataFrame, keys: list[str], span: int, sec: str = "ts_sec", seq: str = "seq") -> DataFrame:

@@ -11,12 +11,14 @@ import base64
 import hashlib
 import ipaddress
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .parser import Part, Rule, Term, passes
@@ -63,9 +65,25 @@ def read_number(data: bytes, at: int, n: int, how: tuple[str, ...]) -> tuple[int
     return int.from_bytes(data[at : at + n], "little" if "little" in how else "big"), at + n
 
 
+#: Seconds that one search for a pattern may take; a pattern that needs longer counts as unable to decide.
+SEARCH_SECONDS = 0.5
+
+
+class GaveUp(Exception):
+    """A search that took too long."""
+
+
 @lru_cache(maxsize=100_000)
-def _compiled(text: str, nocase: bool) -> re.Pattern:
-    return re.compile(text.encode("latin-1"), re.IGNORECASE if nocase else 0)
+def _compiled(text: str, nocase: bool) -> regex.Pattern:
+    return regex.compile(text.encode("latin-1"), (regex.IGNORECASE if nocase else 0) | regex.VERSION0)
+
+
+def _search(t: Term, data: bytes, start: int = 0) -> int | None:
+    try:
+        m = _compiled(t.value, t.nocase).search(data, start, timeout=SEARCH_SECONDS)
+    except TimeoutError:
+        raise GaveUp from None
+    return m.end() if m else None
 
 
 COMPARE = {
@@ -96,33 +114,36 @@ class Reading:
         if "distance" in given or "within" in given:
             start = max(0, self.cursor + given.get("distance", 0))
             if "within" in given:
-                end = min(end, self.cursor + given["within"])
-        if "offset" in given or "depth" in given:
-            start = max(start, given.get("offset", 0))
+                end = min(end, self.cursor + max(given["within"], 0))
+        elif given:
+            start = max(given.get("offset", 0), 0)
             if "depth" in given:
-                end = min(end, given.get("offset", 0) + given["depth"])
-        return start, end
+                end = min(end, start + max(given["depth"], 0))
+        return min(start, len(self.data)), end
 
     def find(self, t: Term) -> int | None:
-        """The end of the first match, or None."""
-        if (w := self.window(t)) is None:
+        """The end of the first match, or None.  A pattern sees only its window, or with `relative` all that is before it too."""
+        if t.kind == "pcre" and t.relative:
+            return _search(t, self.data, min(self.cursor, len(self.data)))
+        if (w := self.window(t)) is None or w[0] > w[1]:
             return None
         start, end = w
         if t.kind == "content":
             data, text = (self.data.translate(_LOWER), t.value.translate(_LOWER)) if t.nocase else (self.data, t.value)
-            at = data.find(text, start, max(end, 0)) if start <= end else -1
+            at = data.find(text, start, end)
             return at + len(text) if at >= 0 else None
-        if t.relative:
-            start = max(start, self.cursor)
-        m = _compiled(t.value, t.nocase).search(self.data, start) if start <= len(self.data) else None
-        return m.end() if m and m.end() <= end else None
+        found = _search(t, self.data[start:end])
+        return None if found is None else start + found
 
     def test(self, t: Term) -> bool:
         base = self.cursor if t.relative else 0
         if t.kind in ("content", "pcre"):
             if any(self.value(v) is None for v in t.place.values()):
                 return False
-            end = self.find(t)
+            try:
+                end = self.find(t)
+            except GaveUp:  # neither found nor known to be absent
+                return False
             if t.negated:
                 return end is None
             if end is None:
@@ -178,13 +199,18 @@ def part_matches(part: Part, data: bytes) -> bool:
     return all(reading.test(t) for t in part.terms)
 
 
+@lru_cache(maxsize=65_536)
+def _address(text: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address:
+    return ipaddress.ip_address(text)
+
+
 def _in_networks(test: tuple[bool, list], address: str | None) -> bool:
     negated, nets = test
     if not nets:
         return not negated
     if address is None:
         return False
-    a = ipaddress.ip_address(address)
+    a = _address(address)
     return any(a.version == n.version and a in n for n in nets) != negated
 
 
@@ -232,6 +258,9 @@ def header_matches(rule: Rule, h: dict) -> bool:
     return True
 
 
+DIRECTIONS = ("to_server", "to_client")
+
+
 class RuleSet:
     """Rules by (buffer, transforms), each group with its automaton."""
 
@@ -267,33 +296,65 @@ class RuleSet:
                     chosen += by_key[key]
             for k, p in chosen:
                 r = self.rules[k]
-                if r.direction != "any" and direction is not None and r.direction != direction:
+                if r.direction != "any" and direction in DIRECTIONS and r.direction != direction:
                     continue
                 if (header is None or header_matches(r, header)) and part_matches(r.parts[p], view):
                     out.append((k, p))
-        return sorted(out)
+        return sorted(self.first_old(out, data, direction))
+
+    def first_old(self, hits: list[tuple[int, int]], data: bytes, direction: str | None) -> list[tuple[int, int]]:
+        """Of the plain literals of the old form one hit for each direction stays: the one that ends first, the longest of those."""
+        old = [(k, p) for k, p in hits if self.rules[k].old and self.rules[k].parts[p].terms[0].kind == "content" and not self.rules[k].parts[p].terms[0].negated]
+        if len(old) < 2:
+            return hits
+        ends = {h: (data.find(x := self.rules[h[0]].parts[0].terms[0].value) + len(x), -len(x), h[0]) for h in old}
+        sides = [direction] if direction in DIRECTIONS else DIRECTIONS
+        stay = {min((h for h in old if self.rules[h[0]].direction in ("any", side)), key=ends.get, default=None) for side in sides}
+        return [h for h in hits if h not in ends or h in stay]
 
 
 HEADER = ("proto", "src", "dst", "src_port", "dst_port", "tcp_flags", "tcp_window", "icmp_type", "icmp_code", "protocol", "payload_len", "client_bytes", "server_bytes")
 
 
-def match(buffers: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
+_RULE_SETS: dict[str, RuleSet] = {}
+
+
+def _rule_set(name: str, shared) -> RuleSet:
+    """Built once a worker, not once a task."""
+    if name not in _RULE_SETS:
+        while len(_RULE_SETS) >= 4:
+            _RULE_SETS.pop(next(iter(_RULE_SETS)))
+        _RULE_SETS[name] = RuleSet(shared.value)
+    return _RULE_SETS[name]
+
+
+def needed_buffers(rules: list[Rule]) -> list[str]:
+    """Buffers that any rule reads; others need not be made or moved."""
+    return sorted({p.buffer for r in rules for p in r.parts})
+
+
+_SWAPPED = {"src": "dst", "dst": "src", "src_port": "dst_port", "dst_port": "src_port"}
+
+
+def match(buffers: DataFrame, rules: list[Rule], keys: list[str], packets: bool = False) -> DataFrame:
     """keys, sid, name, severity, part, parts: hits of (keys, buffer, direction, data) and header columns where given.
 
-    The rule set is broadcast: its size is that of the rule file.
+    Header columns are those of the connection, client first; with `packets` they are a packet's own and are swapped on
+    the way to the client, where a direction is known.  The rule set is broadcast: its size is that of the rule file.
     """
-    header = [c for c in HEADER if c in buffers.columns]
+    header = [c for c in HEADER if c in buffers.columns] if any(r.header for r in rules) else []
     kinds = dict(buffers.dtypes)
-    shared = buffers.sparkSession.sparkContext.broadcast(rules)
+    shared, name = buffers.sparkSession.sparkContext.broadcast(rules), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule_set = RuleSet(shared.value)
+        rule_set = _rule_set(name, shared)
         for b in batches:
             buffer, direction, data = (b.column(len(keys) + k).to_pylist() for k in range(3))
             more = [b.column(len(keys) + 3 + k).to_pylist() for k in range(len(header))]
             at, hits = [], []
             for k in range(b.num_rows):
-                h = {name: more[n][k] for n, name in enumerate(header)} if header else None
+                swap = packets and direction[k] == "to_client"
+                h = {_SWAPPED.get(c, c) if swap else c: more[n][k] for n, c in enumerate(header)} if header else None
                 for r, p in rule_set.check(buffer[k], direction[k], data[k], h):
                     at.append(k)
                     hits.append((rule_set.rules[r], p))
@@ -305,7 +366,8 @@ def match(buffers: DataFrame, rules: list[Rule], keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*taken, *cols], [*keys, "sid", "name", "severity", "part", "parts"])
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", sid bigint, name string, severity string, part int, parts int"
-    return buffers.select(*keys, "buffer", "direction", F.col("data").cast("binary").alias("data"), *header).mapInArrow(run, schema)
+    read = buffers.filter(F.col("buffer").isin(needed_buffers(rules)))
+    return read.select(*keys, "buffer", "direction", F.col("data").cast("binary").alias("data"), *header).mapInArrow(run, schema)
 
 
 def complete(hits: DataFrame, flow: list[str], order: Column | None = None) -> DataFrame:

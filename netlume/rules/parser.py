@@ -6,6 +6,8 @@ import ipaddress
 import re
 from dataclasses import dataclass, field
 
+import regex
+
 SEVERITIES = ("low", "medium", "high")
 DIRECTIONS = {"any": "any", "to_server": "to_server", "to_client": "to_client", "from_client": "to_server", "from_server": "to_client"}
 TRANSFORMS = ("percent_decode", "url_decode", "header_lowercase", "strip_whitespace", "compress_whitespace", "sha1", "md5", "sha256")
@@ -143,6 +145,13 @@ def pattern(text: str) -> str:
     return out
 
 
+def compiles(text: str) -> None:
+    try:
+        regex.compile(text.encode("latin-1"))
+    except (regex.error, UnicodeEncodeError) as e:
+        raise RuleError(f"bad pattern: {e}") from e
+
+
 def number(text: str) -> int | str:
     text = text.strip()
     try:
@@ -244,10 +253,7 @@ def parse_new(line: str) -> Rule:
             body = value.removeprefix("!")
             text = literal(body) if "content" in name else pattern(body)
             if "content" not in name:
-                try:
-                    re.compile(text.encode("latin-1"))
-                except (re.error, UnicodeEncodeError) as e:
-                    raise RuleError(f"bad pattern: {e}") from e
+                compiles(text)
             part().terms.append(Term("content" if "content" in name else "pcre", negated, text))
         elif name == "nocase":
             last().nocase = True
@@ -351,10 +357,7 @@ def parse_old(line: str, sid: int) -> Rule:
     if kind.endswith("literal"):
         term = Term("content", negated, text.encode())
     else:
-        try:
-            re.compile((body := pattern(text)).encode("latin-1"))
-        except (re.error, UnicodeEncodeError) as e:
-            raise RuleError(f"bad pattern: {e}") from e
+        compiles(body := pattern(text))
         term = Term("pcre", negated, body)
     return Rule(sid, name, "high", DIRECTIONS[direction], [Part(buffer, terms=[term])], old=True)
 
