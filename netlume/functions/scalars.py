@@ -1,7 +1,10 @@
-"""Scalar functions as columns, JVM-side."""
+"""Scalar functions as columns, JVM-side but for IPv6 text."""
 
 from __future__ import annotations
 
+import ipaddress
+
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,3 +48,42 @@ def is_group_address(number: Column) -> Column:
     top = F.shiftright(number, 24)
     private = (top == 10) | (F.shiftright(number, 20) == (172 * 16 + 1)) | (F.shiftright(number, 16) == 192 * 256 + 168)
     return (top.between(224, 239)) | (number == 0xFFFFFFFF) | (private & (number.bitwiseAND(F.lit(255)) == 255))
+
+
+def packed_address(text: str | None) -> bytes | None:
+    try:
+        return ipaddress.ip_address(text).packed if text else None
+    except ValueError:
+        return None
+
+
+def address_bytes(text: Column) -> Column:
+    """4 or 16 bytes of an address in text, or null.  IPv4 stays in the JVM; only text with a colon goes to Python."""
+    four = F.unhex(F.lpad(F.hex(ipv4_number(text)), 8, "0"))
+    six = F.udf(packed_address, "binary", useArrow=True)(F.when(text.contains(":"), text))
+    return F.when(text.contains(":"), six).otherwise(four)
+
+
+def address_text(data: Column) -> Column:
+    """Text of 4 or 16 bytes, IPv6 in its short form."""
+    return F.udf(lambda b: str(ipaddress.ip_address(bytes(b))) if b is not None and len(b) in (4, 16) else None, "string", useArrow=True)(data)
+
+
+def fnv1a_64(data: Column) -> Column:
+    """FNV-1a over bytes, as the 16 hexadecimal digits of 64 bits."""
+
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for b in column.to_pylist():
+            h = 0xCBF29CE484222325
+            for c in b or b"":
+                h = ((h ^ c) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
+            out.append(None if b is None else f"{h:016x}")
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(run, "string")(data)
+
+
+def file_name(text: Column) -> Column:
+    """A name that any file system takes: other characters than letters, digits, dot, dash and underscore become one underscore."""
+    return F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_"), r"^\.+", "_")

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netlume.functions import scalars
+
 from . import enrich, windows
 
 # The defaults of each detector (seconds, counts, bytes).
@@ -40,7 +42,14 @@ def spread(obs: DataFrame, keys: list[str], value: str, category: str, severity:
 
 
 def port_scan(obs: DataFrame, **given) -> DataFrame:
-    return spread(obs, ["src", "dst"], "dst_port", "PORT_SCAN", "medium", **DEFAULTS["port_scan"] | given)
+    """Different ports of a host in the window; where there is a column `protocol`, each protocol's are counted apart and share the gate.
+
+    Where there is a column `attempt` (flows.is_attempt), only attempts count.
+    """
+    rows = obs.filter("attempt") if "attempt" in obs.columns else obs
+    if "protocol" in obs.columns:
+        return spread(rows, ["src", "dst", "protocol"], "dst_port", "PORT_SCAN", "medium", gate_keys=["src", "dst"], **DEFAULTS["port_scan"] | given)
+    return spread(rows, ["src", "dst"], "dst_port", "PORT_SCAN", "medium", **DEFAULTS["port_scan"] | given)
 
 
 def packet_flood(obs: DataFrame, packets: str = "packets", **given) -> DataFrame:
@@ -64,8 +73,10 @@ def brute_force(obs: DataFrame, refused: bool, keys: list[str] | None = None, **
 
 
 def beaconing(obs: DataFrame, keys: list[str], **given) -> DataFrame:
-    """Gaps and gate start anew where a key was idle; `idle` None means never."""
+    """Gaps and gate start anew where a key was idle; `idle` None means never.  Text destinations that are groups do not count."""
     p = DEFAULTS["beaconing"] | given
+    if "dst" in obs.columns and dict(obs.dtypes)["dst"] == "string":
+        obs = obs.filter(F.col("dst").isNull() | ~F.coalesce(to_group(F.col("dst")), F.lit(False)))
     rows, own = obs.select(*keys, "ts_sec", "seq"), list(keys)
     if p["idle"] is not None:
         rows, own = windows.idle_sessions(rows, keys, p["idle"]), [*keys, "session"]
@@ -125,9 +136,24 @@ def deny_list(packets: DataFrame, denied: DataFrame, address: str = "address") -
     return side("src", "high").unionByName(side("dst", "medium"))
 
 
-def threat_intel(observations: DataFrame, ranges: DataFrame, domains: DataFrame, address: str = "dst_number", name: str = "name") -> DataFrame:
-    """One alert for each pair of endpoints of which the address or the name is listed; names tell more and come first."""
+def threat_intel(observations: DataFrame, ranges: DataFrame, domains: DataFrame, address: str = "dst_number", name: str = "name", source: str | None = None, fingerprints: DataFrame | None = None, fingerprint: str = "ja3") -> DataFrame:
+    """One alert for each pair of endpoints of which an address, the name or a fingerprint is listed.
+
+    Of one observation the name tells most, then the fingerprint, the destination, and the source where it is given.
+    """
     tagged = enrich.domain_tags(enrich.in_ranges(observations, address, ranges, "_by_address"), name, domains, "_by_name")
-    hot = tagged.withColumn("tag", F.coalesce("_by_name", "_by_address")).filter(F.col("tag").isNotNull())
+    order = ["_by_name", "_by_address"]
+    if fingerprints is not None:
+        tagged = enrich.fingerprint_tags(tagged, fingerprint, fingerprints, "_by_fingerprint")
+        order.insert(1, "_by_fingerprint")
+    if source is not None:
+        tagged = enrich.in_ranges(tagged, source, ranges, "_by_source")
+        order.append("_by_source")
+    hot = tagged.withColumn("tag", F.coalesce(*order)).filter(F.col("tag").isNotNull())
     first = hot.groupBy("src", "dst").agg(F.min_by(F.struct("ts_sec", "tag"), F.struct("ts_sec", "seq")).alias("_f"))
     return _alerts(first.select("src", "dst", "_f.ts_sec", "_f.tag"), "THREAT_INTEL", "high", F.col("tag"))
+
+
+def to_group(address: Column) -> Column:
+    """Whether an address in text is multicast or broadcast, of either family."""
+    return F.coalesce(scalars.is_group_address(scalars.ipv4_number(address)), F.lower(address).startswith("ff"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from netlume.functions import scalars
+
 BLOCK_BITS = 16
 
 
@@ -30,6 +32,40 @@ def in_ranges(rows: DataFrame, address: str, ranges: DataFrame, name: str) -> Da
     return rows.join(best, F.col(address) == F.col("_a"), "left").drop("_a")
 
 
+#: Leading bytes by which networks and addresses meet; a network is listed under the longest prefixes that it takes at most 256 of.
+LEVELS = (4, 3, 2, 1, 0)
+
+
+def _prefixes(first: bytes, last: bytes) -> list[bytes]:
+    """Blocks of a range: the family and leading bytes, all of one length."""
+    family = bytes([len(first)])
+    for n in LEVELS[:-1]:
+        if (count := int.from_bytes(last[:n], "big") - (low := int.from_bytes(first[:n], "big")) + 1) <= 256:
+            return [family + (low + k).to_bytes(n, "big") for k in range(count)]
+    return [family]
+
+
+def in_networks(rows: DataFrame, address: str, ranges: DataFrame, name: str) -> DataFrame:
+    """Adds the tag of the range (first, last: 4 or 16 bytes) with the greatest start that holds the address in text, or null.
+
+    Both families; they never meet.  An equi-join on leading bytes, as in_ranges() is on blocks of numbers.
+    """
+    blocks = F.udf(lambda a, b: _prefixes(bytes(a), bytes(b)) if a is not None and b is not None and len(a) == len(b) and a <= b else [], "array<binary>")
+    listed = ranges.select(F.col("first").alias("_lo"), F.col("last").alias("_hi"), F.col("tag").alias("_tag"), F.explode(blocks("first", "last")).alias("_block"))
+    wanted = rows.select(F.col(address).alias("_text")).distinct().withColumn("_a", scalars.address_bytes(F.col("_text"))).filter("_a IS NOT NULL")
+    family = F.when(F.octet_length("_a") == 4, F.unhex(F.lit("04"))).otherwise(F.unhex(F.lit("10")))
+    wanted = wanted.withColumn("_block", F.explode(F.array(*[F.concat(family, F.substring("_a", 1, n)) for n in LEVELS])))
+    found = wanted.join(listed, "_block").filter(F.col("_a").between(F.col("_lo"), F.col("_hi")))
+    best = found.groupBy("_text").agg(F.max_by("_tag", F.struct("_lo", "_tag")).alias(name))
+    return rows.join(best, F.col(address) == F.col("_text"), "left").drop("_text")
+
+
+def fingerprint_tags(rows: DataFrame, fingerprint: str, feed: DataFrame, name: str) -> DataFrame:
+    """Adds the tag of a listed fingerprint (value, tag), in any case; of several the least."""
+    listed = feed.select(F.lower("value").alias("_value"), "tag").groupBy("_value").agg(F.min("tag").alias(name))
+    return rows.join(listed, F.lower(F.col(fingerprint)) == F.col("_value"), "left").drop("_value")
+
+
 def domain_tags(rows: DataFrame, host: str, feed: DataFrame, name: str) -> DataFrame:
     """Adds the tag of the longest listed suffix, on label boundaries; a single label matches only itself."""
     labels = F.split(F.lower(F.col("_h")), r"\.")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import binary, text
+from . import auth, binary, quic, text
 
 #: Name: (parser of bytes, type of its result).
 PARSERS: dict[str, tuple[Callable, str]] = {
@@ -16,6 +16,7 @@ PARSERS: dict[str, tuple[Callable, str]] = {
     "certificate": (binary.certificate, "serial string, issuer string, subject string"), "ssh_version": (text.ssh_version, "string"), "ftp_command": (text.ftp_command, "string"), "smtp_command": (text.smtp_command, "command string, sender string, recipient string"),
     "smb2": (binary.smb2, "command string, filename string, status bigint"), "ntlm": (binary.ntlm, "message string, user string, domain string, workstation string"), "kerberos": (binary.kerberos, "message string, realm string, client string, service string, error bigint"),
     "ldap": (binary.ldap, "operation string, dn string, cleartext boolean, result bigint"), "dcerpc": (binary.dcerpc, "packet string, interface string, opnum int"), "modbus": (binary.modbus, "function string, address bigint"), "rdp_cookie": (binary.rdp_cookie, "string"),
+    "smb1": (binary.smb1, "command string, path string"), "quic_initial": (quic.quic_initial, "version bigint, dcid string, scid string, sni string, ja3 string"), "app_marks": (auth.marks, "array<string>"),
     "tftp": (binary.tftp, "opcode string, filename string"), "snmp_community": (binary.snmp_community, "string"), "dnp3_function": (binary.dnp3_function, "string"), "file_identity": (text.file_identity, "size bigint, md5 string, sha256 string, type string"),
 }
 
@@ -42,6 +43,12 @@ def parsed(name: str, data: Column) -> Column:
     return one(data)
 
 
+def message_lines(streams: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n and line of each complete line of a stream, as bytes; an unfinished last line is left out."""
+    split = F.udf(lambda b: text.lines(bytes(b)) if b is not None else [], "array<binary>", useArrow=True)
+    return streams.select(*keys, F.posexplode(split("stream")).alias("n", "line"))
+
+
 def rule_buffers(streams: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
     """(keys, buffer, direction, data) of the buffers that rules name, from streams (keys, direction, stream)."""
     out = None

@@ -50,6 +50,45 @@ def write_all(alerts: DataFrame, targets: dict[str, str]) -> None:
         held.unpersist()
 
 
+def flow_log(flows: DataFrame) -> DataFrame:
+    """value: one JSON object for each record of flows.tcp_flow_log(); absent fields are left out."""
+    from netlume.operators.flows import METADATA, flag_letters
+
+    plain = [c for c in ("src", "src_port", "dst", "dst_port", "proto", "state") if c in flows.columns]
+    vlan = [F.coalesce("vlan_id", F.lit(0)).alias("vlan")] if "vlan_id" in flows.columns else []
+    counts = ["pkts_to_server", "pkts_to_client", "bytes_to_server", "bytes_to_client"]
+    flags = [flag_letters(F.col(c)).alias(c) for c in ("flags_to_server", "flags_to_client")]
+    more = [c for c in METADATA if c in flows.columns]
+    fields = [F.col("start_sec").alias("start"), (F.col("end_sec") - F.col("start_sec")).alias("duration"), *plain, *vlan, *counts, *flags, "alerts", *more]
+    return flows.select(F.to_json(F.struct(*fields)).alias("value"))
+
+
+def write_rotated(lines: DataFrame, path: str, records: int = 1_000_000, generations: int = 5) -> str:
+    """Lines as a new generation of files of so many records at most; the oldest beyond `generations` go.
+
+    A generation appears whole or not at all, so a reader never sees one that is being written.
+    """
+    spark = lines.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = sorted(f.getPath().getName() for f in fs.listStatus(top) if f.getPath().getName().startswith("generation=")) if fs.exists(top) else []
+    name = f"generation={int(old[-1].partition('=')[2]) + 1 if old else 0:012d}"
+    lines.write.option("maxRecordsPerFile", records).text(f"{path}/.{name}")
+    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/.{name}"), spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}"))
+    for gone in [*old, name][:-generations]:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{gone}"), True)
+    return f"{path}/{name}"
+
+
+def console(lines: DataFrame):
+    """A writer of a stream of lines to the driver's output; a batch is printed as its rows arrive, never gathered."""
+    if lines.isStreaming:
+        return lines.writeStream.format("console").option("truncate", "false")
+    for row in lines.toLocalIterator():
+        print(row["value"])
+    return None
+
+
 def prometheus(counts: dict[str, int], prefix: str = "netlume") -> str:
     """Counters in the text form of metrics."""
     return "".join(f"# TYPE {prefix}_{k}_total counter\n{prefix}_{k}_total {v}\n" for k, v in sorted(counts.items()))

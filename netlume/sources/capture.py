@@ -47,6 +47,11 @@ def frames_of(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
 
 def read_pcap(spark: SparkSession, path: str) -> DataFrame:
     """Frames of all captures under a path, numbered by file."""
+    return frames_in(spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").option("recursiveFileLookup", "true").load(path))
+
+
+def frames_in(files: DataFrame) -> DataFrame:
+    """Frames of capture files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -60,7 +65,6 @@ def read_pcap(spark: SparkSession, path: str) -> DataFrame:
                 if held:
                     yield _batch(held, FRAMES)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, FRAMES)
 
 
@@ -283,6 +287,55 @@ def write_pcap_bytes(frames: list[tuple[int, bytes]], link: int = ETHERNET) -> b
 
 
 def around_alerts(frames: DataFrame, alerts: DataFrame, last: int = 50, keep: int = 1500) -> DataFrame:
-    """alert_id, frame_no and bytes of the `last` frames up to each alert's frame (alert_id, at_frame)."""
-    wanted = alerts.select("alert_id", F.explode(F.sequence(F.greatest(F.col("at_frame") - last + 1, F.lit(0)), F.col("at_frame"))).alias("frame_no"))
-    return frames.join(wanted, "frame_no").select("alert_id", "frame_no", "ts_us", F.substring("raw", 1, keep).alias("raw"))
+    """alert_id, path, frame_no and bytes of the `last` frames up to each alert's frame (alert_id, path, at_frame).
+
+    Frames are numbered by file, so an alert names its file.
+    """
+    wanted = alerts.select("alert_id", "path", F.explode(F.sequence(F.greatest(F.col("at_frame") - last + 1, F.lit(0)), F.col("at_frame"))).alias("frame_no"))
+    return frames.join(wanted, ["path", "frame_no"]).select("alert_id", "path", "frame_no", "ts_us", F.substring("raw", 1, keep).alias("raw"))
+
+
+def follow_pcap(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
+    """Frames of captures as they are dropped into a folder (a rotating capture tool writes them there), as a stream.
+
+    At most `files` captures make a micro-batch, so a burst waits in the folder and nothing is shed.
+    """
+    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.pcap").load(path)
+    return frames_in(found)
+
+
+#: Why a frame gave a packet or none, in the order in which it is told.
+OUTCOMES = ("unsupported_link", "short_frame", "non_ip", "bad_ip_header", "fragment", "tunnelled", "encrypted", "decoded")
+ESP = 50
+
+
+def outcome(link: int, raw: bytes) -> tuple[str, bool]:
+    """What became of a frame, and whether it had a VLAN tag."""
+    if link not in (ETHERNET, RAW_IP, NULL_LOOP, LOOP, LINUX_SLL, LINUX_SLL2):
+        return "unsupported_link", False
+    found = network_layer(link, raw)
+    if found is None:
+        return "short_frame", False
+    kind, _, vlan = found
+    if kind not in (IPV4, IPV6):
+        return "non_ip", bool(vlan)
+    p = decode(link, raw)
+    if p is None:
+        return "bad_ip_header", bool(vlan)
+    return ("fragment" if p.is_fragment else "encrypted" if p.protocol == ESP else "tunnelled" if p.tunnels else "decoded"), bool(vlan)
+
+
+def decode_counts(frames: DataFrame) -> DataFrame:
+    """outcome, frames and vlan_tagged of all frames: counted in the tasks, so that a row for each outcome is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for b in batches:
+            for link, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name, tagged = outcome(link, raw or b"")
+                held = counts.setdefault(name, [0, 0])
+                held[0] += 1
+                held[1] += tagged
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([v[k] for v in counts.values()], pa.int64()) for k in range(2))], ["outcome", "frames", "vlan_tagged"])
+
+    return frames.select("link_type", "raw").mapInArrow(run, "outcome string, frames bigint, vlan_tagged bigint").groupBy("outcome").agg(F.sum("frames").alias("frames"), F.sum("vlan_tagged").alias("vlan_tagged"))

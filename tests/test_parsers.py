@@ -168,7 +168,8 @@ def test_captures_through_spark(spark, tmp_path):
     packets = capture.decode_frames(read)
     assert read.count() == 8 and packets.filter("dst_port = 22").count() == 5
     assert [bytes(r["body"]) for r in capture.defragmented(packets).collect()] == [b"a" * 8 + b"b" * 3]
-    near = capture.around_alerts(read, spark.createDataFrame([(1, 4)], "alert_id bigint, at_frame bigint"), last=3)
+    (tmp_path / "c.pcap").write_bytes(capture.write_pcap_bytes(frames))
+    near = capture.around_alerts(read, read.filter("path LIKE '%a.pcap' AND frame_no = 4").select(F.lit(1).alias("alert_id"), "path", F.col("frame_no").alias("at_frame")), last=3)
     assert sorted(r["frame_no"] for r in near.collect()) == [2, 3, 4]
 
 
