@@ -73,6 +73,13 @@ def tcp_sessions(packets: DataFrame, keys: list[str], idle: int = IDLE, unanswer
     return windows.fold_in_order(packets, keys, ["ts_sec", "seq", "src", "src_port", "tcp_flags", "payload_len"], "session bigint, is_client boolean, closes boolean", fold)
 
 
+def stream_sizes(packets: DataFrame, keys: list[str], size: str = "payload_len", sec: str = "ts_sec", seq: str = "seq") -> DataFrame:
+    """Adds client_bytes and server_bytes: what either side of a session (is_client) has sent so far, this packet included."""
+    w = Window.partitionBy(*keys).orderBy(sec, seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col(size))).over(w), F.lit(0)).cast("bigint")
+    return packets.withColumns({"client_bytes": total(F.col("is_client")), "server_bytes": total(~F.col("is_client"))})
+
+
 def first_seen(columns: list[str], sec: str = "ts_sec", seq: str = "seq") -> list[Column]:
     """Aggregates: the first value of each column that is not null."""
     return [F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(sec, seq))).alias(c) for c in columns]

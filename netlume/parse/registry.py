@@ -32,6 +32,10 @@ BUFFERS = {
 }
 
 
+#: Server ports of parsers whose marks are too weak for any other port.
+GATES = {"dns_question": (53,), "kerberos": (88,), "ldap": (389, 3268), "dcerpc": (135, 445), "modbus": (502,), "dnp3_function": (20_000,), "tftp": (69,), "snmp_community": (161, 162)}
+
+
 def register(name: str, parser: Callable, kind: str) -> None:
     PARSERS[name] = (parser, kind)
 
@@ -50,11 +54,17 @@ def message_lines(streams: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rule_buffers(streams: DataFrame, names: list[str], keys: list[str]) -> DataFrame:
-    """(keys, buffer, direction, data) of the buffers that rules name, from streams (keys, direction, stream)."""
+    """(keys, buffer, direction, data) of the buffers that rules name, from streams (keys, direction, stream).
+
+    Where streams have src_port and dst_port, parsers with weak marks run only on streams with one of their ports.
+    """
+    gated = {"src_port", "dst_port"} <= set(streams.columns)
     out = None
     for parser in sorted({BUFFERS[n][0] for n in names if n in BUFFERS}):
         mine = [n for n in names if n in BUFFERS and BUFFERS[n][0] == parser]
-        got = streams.withColumn("_p", parsed(parser, F.col("stream")))
+        ports = GATES.get(parser) if gated else None
+        mine_only = streams if ports is None else streams.filter(F.col("src_port").isin(*ports) | F.col("dst_port").isin(*ports))
+        got = mine_only.withColumn("_p", parsed(parser, F.col("stream")))
         field = lambda n: F.col(f"_p.{BUFFERS[n][1]}") if BUFFERS[n][1] else F.col("_p")
         made = F.explode(F.array(*[F.struct(F.lit(n).alias("buffer"), F.lit(BUFFERS[n][2]).alias("side"), field(n).cast("string").cast("binary").alias("data")) for n in mine]))
         rows = got.select(*keys, "direction", made.alias("_b")).filter("_b.data IS NOT NULL AND (_b.side = 'any' OR _b.side = direction)").select(*keys, "_b.buffer", "direction", "_b.data")

@@ -30,7 +30,7 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import protocol_queries, rule_queries  # noqa: F401  register their own
+    from . import protocol_queries, rule_queries, state_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 

@@ -34,22 +34,7 @@ TERMS = [
 ]
 
 
-def _term(name: str, text: str, sql: str) -> None:
-    def run(spark, sf_dir):
-        rules, _ = parse_rules(f'rule sid:1; name:"{name}"; buffer:payload; {text};')
-        rows = table(spark, sf_dir, "documents").filter("lang = 'en' AND octet_length(text) = length(text)")
-        found = match(rows.select("doc_id", F.lit("payload").alias("buffer"), F.lit("any").alias("direction"), F.col("text").alias("data")), rules, ["doc_id"])
-        return found.select("doc_id", "sid")
-
-    run.__name__ = name
-    query(f"SELECT doc_id, CAST(1 AS BIGINT) AS sid FROM (SELECT doc_id, text AS t FROM documents WHERE lang = 'en' AND octet_length(encode(text)) = length(text)) WHERE {sql}")(run)
-
-
-for _name, _text, _sql in TERMS:
-    _term(_name, _text, _sql)
-
-
-#: The same terms over every document, with SQL over bytes (h: their digits, two for each byte) where a term counts bytes.
+#: SQL over bytes (h: their digits, two for each byte) for the terms that count bytes.
 BYTES = {
     "f15_offset_depth": "regexp_matches(substr(h, 5, 12), '^(..)*74')",
     "f16_distance_within": "contains(t, 'the') AND regexp_matches(substr(h, 2 * octet_length(encode(substr(t, 1, instr(t, 'the') - 1))) + 9, 22), '^(..)*6F66')",
@@ -58,19 +43,23 @@ BYTES = {
 }
 
 
-def _whole_term(name: str, text: str, sql: str) -> None:
+def match_documents(spark, sf_dir, name: str, text: str) -> DataFrame:
+    """doc_id and sid of all documents whose bytes a rule of these terms matches."""
+    rules, _ = parse_rules(f'rule sid:1; name:"{name}"; buffer:payload; {text};')
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("payload").alias("buffer"), F.lit("any").alias("direction"), F.col("text").alias("data"))
+    return match(rows, rules, ["doc_id"]).select("doc_id", "sid")
+
+
+def _term(name: str, text: str, sql: str) -> None:
     def run(spark, sf_dir):
-        rules, _ = parse_rules(f'rule sid:1; name:"{name}"; buffer:payload; {text};')
-        rows = table(spark, sf_dir, "documents")
-        found = match(rows.select("doc_id", F.lit("payload").alias("buffer"), F.lit("any").alias("direction"), F.col("text").alias("data")), rules, ["doc_id"])
-        return found.select("doc_id", "sid")
+        return match_documents(spark, sf_dir, name, text)
 
-    run.__name__ = f"{name}_whole"
+    run.__name__ = name
     query(f"SELECT doc_id, CAST(1 AS BIGINT) AS sid FROM (SELECT doc_id, text AS t, hex(encode(text)) AS h FROM documents) WHERE {sql}")(run)
 
 
 for _name, _text, _sql in TERMS:
-    _whole_term(_name, _text, BYTES.get(_name, _sql))
+    _term(_name, _text, BYTES.get(_name, _sql))
 
 
 def passages(spark: SparkSession, sf_dir: str) -> list[Rule]:

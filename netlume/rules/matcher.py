@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from netlume.operators import windows
+
 from .parser import Part, Rule, Term, passes
 
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -376,3 +378,40 @@ def complete(hits: DataFrame, flow: list[str], order: Column | None = None) -> D
     firsts = hits.groupBy(*flow, "sid", "name", "severity", "parts", "part").agg(F.min(at).alias("_at"))
     done = firsts.groupBy(*flow, "sid", "name", "severity", "parts").agg(F.count("*").alias("_n"), F.max("_at").alias("completed"))
     return done.filter(F.col("_n") == F.col("parts")).drop("_n", "parts")
+
+
+def scan_streams(segments: DataFrame, keys: list[str], literals: list[bytes], seq: str = "seq", payload: str = "payload") -> DataFrame:
+    """keys, literal and seq of the segment that completes a literal's first occurrence in its stream.
+
+    Only new bytes are read, and as many before them as the longest literal less one: a stream costs its length once,
+    however many segments it comes in, and no stream is held.
+    """
+    kinds, n, most = dict(segments.dtypes), len(keys), max(map(len, literals)) - 1
+    names = {x.decode("latin-1"): x for x in literals}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for name, data in names.items():
+            automaton.add_word(name, data)
+        automaton.make_automaton()
+        last, tail, seen = None, b"", set()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh, last = windows._changes([b.column(k) for k in range(n)], last)
+            at, found = [], []
+            for k, (new, data) in enumerate(zip(fresh.tolist(), b.column(n + 1).to_pylist(), strict=True)):
+                if new:
+                    tail, seen = b"", set()
+                text = tail + (data or b"")
+                for _, literal in automaton.iter(text.decode("latin-1")):
+                    if literal not in seen:
+                        seen.add(literal)
+                        at.append(k)
+                        found.append(literal)
+                tail = text[len(text) - most :] if most and len(text) > most else text if most else b""
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(place) for k in range(n)), pa.array(found, pa.binary()), b.column(n).take(place)], [*keys, "literal", seq])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", literal binary, `{seq}` {kinds[seq]}"
+    return segments.repartition(*keys).sortWithinPartitions(*keys, seq).select(*keys, seq, F.col(payload).cast("binary")).mapInArrow(run, schema)

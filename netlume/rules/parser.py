@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 import regex
+from pyspark.sql import DataFrame, functions as F
 
 SEVERITIES = ("low", "medium", "high")
 DIRECTIONS = {"any": "any", "to_server": "to_server", "to_client": "to_client", "from_client": "to_server", "from_server": "to_client"}
@@ -376,3 +377,13 @@ def parse_rules(text: str, strict: bool = True) -> tuple[list[Rule], list[tuple[
                 raise RuleError(f"line {n}: {e}") from e
             errors.append((n, str(e)))
     return rules, errors
+
+
+def check_lines(lines: DataFrame) -> DataFrame:
+    """line and error of the rules in (line, value) that cannot be used."""
+
+    def error(value: str | None) -> str | None:
+        _, errors = parse_rules(value or "", strict=False)
+        return errors[0][1] if errors else None
+
+    return lines.select("line", F.udf(error, "string", useArrow=True)("value").alias("error")).filter("error IS NOT NULL")

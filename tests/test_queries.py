@@ -59,5 +59,5 @@ def test_whole_terms_on_bytes(spark, tmp_path):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     for name, says in plain_terms.items():
         want = [k for k, t in enumerate(texts) if t is not None and says(t.encode())]
-        assert sorted(r["doc_id"] for r in catalogue.queries()[f"{name}_whole"](spark, str(tmp_path)).collect()) == want, name
-        assert sorted(r[0] for r in con.execute(catalogue.oracle_sql()[f"{name}_whole"]).fetchall()) == want, name
+        assert sorted(r["doc_id"] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()) == want, name
+        assert sorted(r[0] for r in con.execute(catalogue.oracle_sql()[name]).fetchall()) == want, name
