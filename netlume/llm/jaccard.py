@@ -10,9 +10,11 @@ set is looked up: overlaps along shared paths are counted once, and a subtree is
 on either side cannot reach the threshold.  In the tree the order is the one of the block, its rarest n-grams first.
 Links give connected components.
 
-Blocks beyond `BLOCK` sets are dealt into shards that are joined on their own, each with the same few pivots; for those
-that are still in several components after it, all sets outside the largest one are joined with every shard.  No
-candidate is dropped at any size.
+Before texts move, classes leave a block if their counts of n-grams by ranges of hashes differ from those of all others
+there by more than linked sets can.  Blocks beyond `BLOCK` sets skip that and are dealt into shards that are joined on
+their own, each with the same few pivots; of those that are still in several components after it, all sets outside the
+largest one meet all others, `BLOCK` of either at a time, first by their counts, then by their n-grams.  No link is lost at
+any size.
 
 Defined results: null texts and texts without words have no n-grams and are linked with nothing; texts of fewer words
 than an n-gram have one, the whole sequence; equal texts share a component; rows with equal or null ids are kept; very
@@ -27,14 +29,16 @@ from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import workspace
 from .arrow_text import units, utf8, words_joined
 from .components import connected_components
 
-#: Sets in one prefix tree, and in it sets that all shards of a block share.
-BLOCK, PIVOTS = 2_000, 16
+#: Sets in one prefix tree (of either side of it in the second round), and in it sets that all shards of a block share.
+BLOCK, PIVOTS = 256, 16
+#: Ranges whose n-grams are counted: that many at least, and one for eight n-grams.
+COUNTED = 64
 #: Branches with more kids than this keep an index of them.
 KIDS = 8
 #: The sketch has 2^BITS counts, dealt in PIECES; it is the only thing that goes to the driver, and from there to all tasks as a byte for each count.
@@ -104,6 +108,12 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndar
     return out
 
 
+def range_counts(ngrams: np.ndarray) -> bytes:
+    """N-grams in each of 2^k equal ranges; what exceeds a byte counts as 255, which only brings sets nearer."""
+    bits = max(COUNTED.bit_length() - 1, (len(ngrams) - 1).bit_length() - 3)
+    return np.minimum(np.bincount((ngrams >> _U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
 def class_of(ngrams: np.ndarray) -> int:
     """Digest of a set, as a signed number."""
     return int(mixed(mixed(ngrams ^ _BASE).sum(dtype=_U)[None] + _U(len(ngrams)))[0].astype(np.int64))
@@ -279,6 +289,38 @@ def tree_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, in
     return out
 
 
+def near_by_counts(sizes: np.ndarray, counts: list[bytes], roots: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether each set may link with one that has another root, by sizes and counts."""
+    keep, wide = np.zeros(len(sizes), bool), np.array([len(c) for c in counts])
+    held: dict[tuple[int, int], np.ndarray] = {}
+
+    def at(ranges: int, own: int) -> np.ndarray:
+        """Counts of the sets that have so many ranges, added up to fewer."""
+        if (ranges, own) not in held:
+            rows = np.frombuffer(b"".join(c for c in counts if len(c) == ranges), np.uint8).reshape(-1, own, ranges // own)
+            held[ranges, own] = rows.sum(axis=2, dtype=np.int32)
+        return held[ranges, own]
+
+    groups = {int(r): np.flatnonzero(wide == r) for r in np.unique(wide)}
+    place = np.empty(len(sizes), np.int64)
+    for members in groups.values():
+        place[members] = np.arange(len(members))
+    for k in range(len(sizes)):
+        for ranges, members in groups.items():
+            fit = (roots[members] != roots[k]) & (sizes[members] * den >= sizes[k] * num) & (sizes[k] * den >= sizes[members] * num)
+            if keep[k]:
+                fit &= ~keep[members]
+            if not fit.any():
+                continue
+            own = min(ranges, int(wide[k]))
+            rows, row = at(ranges, own)[fit], at(int(wide[k]), own)[place[k]]
+            near = members[fit][np.abs(rows - row).sum(axis=1) <= (sizes[members[fit]] + sizes[k]) * (den - num) // (den + num)]
+            if len(near):
+                keep[k] = True
+                keep[near] = True
+    return keep
+
+
 def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     data, offsets = utf8(column)
     for first, last in units(offsets):
@@ -286,17 +328,19 @@ def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def classes(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """key, n_shingles, node (null for the empty set) and digest of the text of each row, then each task's part of the sketch."""
+    """key, n_shingles, node (null for the empty set), digest of the text and counts of each row, then each task's part of the sketch (piece, counts)."""
     kind = dict(docs.dtypes)[key]
+    names = [key, "n_shingles", "node", "text_digest", "piece", "counts"]
     schema = f"`{key}` {kind}, n_shingles bigint, node bigint, text_digest bigint, piece int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, waiting, held, seen, empty = np.zeros(1 << BITS, np.int64), [], 0, set(), None
         for b in batches:
-            n, node = [], []
+            n, node, ranges = [], [], []
             for s in sets_of(b.column(1), size):
                 n.append(len(s))
                 node.append(class_of(s) if len(s) else None)
+                ranges.append(range_counts(s) if len(s) else None)
                 if len(s) and node[-1] not in seen:
                     seen.add(node[-1])
                     waiting.append((s >> _U(64 - BITS)).astype(np.int32))
@@ -304,14 +348,13 @@ def classes(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
                 if held > 1 << BITS:
                     total += np.bincount(np.concatenate(waiting), minlength=1 << BITS)
                     waiting, held = [], 0
-            none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
             empty = b.column(0).slice(0, 0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), b.column(2), *none], [key, "n_shingles", "node", "text_digest", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), b.column(2), pa.nulls(len(n), pa.int32()), pa.array(ranges, pa.binary())], names)
         if empty is not None:
             total += np.bincount(np.concatenate([np.zeros(0, np.int32), *waiting]), minlength=1 << BITS)
             counts = [zlib.compress(x.tobytes(), 1) for x in np.split(np.minimum(total, (1 << 32) - 1).astype("<u4"), PIECES)]
             none = [pa.nulls(PIECES, x) for x in (empty.type, pa.int64(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], [key, "n_shingles", "node", "text_digest", "piece", "counts"])
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(PIECES), pa.int32()), pa.array(counts, pa.binary())], names)
 
     return docs.select(F.col(key), F.col(text), F.xxhash64(F.col(text))).mapInArrow(run, schema)
 
@@ -410,41 +453,89 @@ def join_blocks(sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return sets.select("task", "node", "text").repartition(parts, "task").sortWithinPartitions("task", "node").mapInArrow(run, "a bigint, b bigint")
 
 
+def thinned(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(node, centre) of those rows (task, node, centre, root, n, counts) that may link with one of their task that has another root."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
+
+        def left() -> pa.RecordBatch:
+            keep = np.zeros(len(held), bool)
+            if len(held) > 1:
+                keep = near_by_counts(np.array([h[3] for h in held]), [h[4] for h in held], np.array([h[2] for h in held]), num, den)
+            kept = [h for h, ok in zip(held, keep, strict=True) if ok]
+            return pa.RecordBatch.from_arrays([pa.array([h[0] for h in kept], pa.int64()), pa.array([h[1] for h in kept], pa.int64())], ["node", "centre"])
+
+        for b in batches:
+            out = []
+            for at, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if at != task:
+                    out.append(left())
+                    task, held = at, []
+                if not held or held[-1][0] != row[0]:
+                    held.append(row)
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+        yield left()
+
+    rows = rows.select("task", "node", "centre", "root", "n", "counts").repartition(parts, "task").sortWithinPartitions("task", "node")
+    return rows.mapInArrow(run, "node bigint, centre bigint")
+
+
+def task(*columns: str) -> Column:
+    return F.xxhash64(*columns).alias("task")
+
+
+def all_against_outside(known: DataFrame, large: DataFrame, keep: workspace.Tables) -> DataFrame:
+    """(task, node, centre, root) of blocks (node, centre, root, elsewhere) in several components: all sets outside the largest one meet all others.
+
+    Blocks that were whole in one task have been compared and do not come again; `large` lists those that were not.
+    """
+    counts = known.groupBy("centre", "root").agg(F.count("*").alias("n"), F.max("elsewhere").alias("elsewhere"))
+    top = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held"), F.max("elsewhere").alias("elsewhere"))
+    top = top.join(large.select("centre", F.lit(True).alias("large")), "centre", "left").filter("roots > 1 AND (elsewhere OR large)")
+    top = keep.written(top.select("centre", F.col("top.root").alias("largest"), F.ceil(F.col("held") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer")), "top")
+    shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
+    rest = known.select("node", "centre", "root").join(top, "centre").withColumn("shard", shard)
+    inside = rest.select("node", "centre", "root", "shard", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"))
+    own = F.pmod(F.xxhash64("node", F.lit("outer")), F.col("outer")).cast("int")
+    outside = rest.filter((F.col("root") != F.col("largest")) & (F.col("shards") > 1)).select("node", "centre", "root", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), own.alias("x"))
+    return inside.unionByName(outside).select(task("centre", "shard", "x"), "node", "centre", "root")
+
+
 def links(docs: DataFrame, kinds: DataFrame, pairs: DataFrame, size: int, num: int, den: int, key: str, text: str, keep: workspace.Tables) -> DataFrame:
     """Links (a, b) between classes that meet, enough for the components of all links."""
     centres = pairs.select(F.col("b").alias("node"), F.col("b").alias("centre")).distinct()
-    blocks = keep.written(pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).unionByName(centres), "blocks")
+    stars = keep.written(pairs.select(F.col("a").alias("node"), F.col("b").alias("centre")).unionByName(centres), "stars")
+    counts = kinds.select("node", "n", "counts")
+    wide = keep.written(stars.groupBy("centre").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK), "wide")
+    small = stars.join(wide, "centre", "left_anti").join(counts, "node")
+    near = thinned(small.select(task("centre"), "node", "centre", F.col("node").alias("root"), "n", "counts"), num, den)
+    blocks = keep.written(near.unionByName(stars.join(wide, "centre", "left_semi").select("node", "centre")), "blocks")
     # one text stands for its class, and is kept once, however many blocks it is in
     wanted = kinds.join(blocks.select("node").distinct(), "node").select("node", "sample")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     same = wanted["sample.key"].eqNullSafe(texts["key"]) & (wanted["sample.text_digest"] == F.xxhash64(texts["text"]))
     sets = keep.written(texts.join(wanted, same).select("node", "text"), "sets")
-    task = lambda *cols: F.xxhash64(*cols).alias("task")
-    shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
 
     # first every class in one block only, its smallest; large ones in shards that share pivots, some of their sets drawn by a hash
     once = keep.written(blocks.groupBy("node").agg(F.min("centre").alias("centre")), "once")
     large = keep.written(once.groupBy("centre").agg(F.count("*").alias("held")).filter(F.col("held") > BLOCK), "large")
+    shard = F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")
     placed = once.join(large, "centre", "left").withColumn("shards", F.coalesce(F.ceil(F.col("held") / BLOCK), F.lit(1)).cast("int")).withColumn("shard", shard)
     draw = F.pmod(F.xxhash64("node", F.lit("pivot")), F.lit(1 << 30)) / float(1 << 30)
     pivots = placed.filter((F.col("shards") > 1) & (draw < PIVOTS / F.col("held"))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     rows = placed.select(task("centre", "shard"), "node").unionByName(pivots.select(task("centre", "shard"), "node"))
     found = keep.written(join_blocks(rows.join(sets, "node"), size, num, den), "links")
 
-    # then the blocks that were not whole in one task and are still in several components: sets outside the largest one meet all others
+    # then the blocks that are still in several components: by their counts, and what may link by its n-grams
     roots = connected_components(found)
     known = blocks.join(once.withColumnRenamed("centre", "at"), "node").join(roots, "node", "left")
     known = keep.written(known.select("node", "centre", F.coalesce("component", "node").alias("root"), (F.col("at") != F.col("centre")).alias("elsewhere")), "roots")
-    counts = known.groupBy("centre", "root").agg(F.count("*").alias("n"), F.max("elsewhere").alias("elsewhere"))
-    top = counts.groupBy("centre").agg(F.max(F.struct("n", "root")).alias("top"), F.count("*").alias("roots"), F.sum("n").alias("held"), F.max("elsewhere").alias("elsewhere"))
-    top = top.join(large.select("centre", F.lit(True).alias("large")), "centre", "left").filter("roots > 1 AND (elsewhere OR large)")
-    top = keep.written(top.select("centre", F.col("top.root").alias("largest"), F.ceil(F.col("held") / BLOCK).cast("int").alias("shards"), F.ceil((F.col("held") - F.col("top.n")) / BLOCK).cast("int").alias("outer")), "top")
-    rest = known.select("node", "centre", "root").join(top, "centre").withColumn("shard", shard)
-    inside = rest.select("node", "centre", "shard", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("x"))
-    own = F.pmod(F.xxhash64("node", F.lit("outer")), F.col("outer")).cast("int")
-    outside = rest.filter((F.col("root") != F.col("largest")) & (F.col("shards") > 1)).select("node", "centre", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), own.alias("x"))
-    again = inside.unionByName(outside).select(task("centre", "shard", "x"), "node").join(sets, "node")
-    return found.unionByName(join_blocks(again, size, num, den))
+    apart = thinned(all_against_outside(known, large, keep).join(counts, "node"), num, den).distinct()
+    still = keep.written(known.join(apart, ["node", "centre"]), "apart")
+    again = all_against_outside(still.withColumn("elsewhere", F.lit(True)), large, keep).select("task", "node")
+    return found.unionByName(join_blocks(again.join(sets, "node"), size, num, den))
 
 
 def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -454,7 +545,7 @@ def jaccard_components(docs: DataFrame, size: int = 3, num: int = 90, den: int =
         pairs = keep.written(candidates(docs, sketch_levels(members), size, num, den, text), "candidates")
         # a class once, whatever the number of its copies: what follows is dealt by class, and only the last join meets all rows
         sample = F.struct(F.col(key).alias("key"), "text_digest")
-        kinds = keep.written(members.filter("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("first"), F.min(sample).alias("sample")), "classes")
+        kinds = keep.written(members.filter("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("first"), F.min(sample).alias("sample"), F.first("n_shingles").alias("n"), F.first("counts").alias("counts")), "classes")
         rooted = keep.written(kinds.select("node", "first").join(connected_components(links(docs, kinds, pairs, size, num, den, key, text, keep)), "node"), "rooted")
         least = keep.written(rooted.groupBy("component").agg(F.min("first").alias("least")), "least")
         found = rooted.join(least, "component").select("node", "least").unionByName(kinds.join(rooted.select("node"), "node", "left_anti").select("node", F.col("first").alias("least")))
