@@ -1,6 +1,7 @@
 """Each operator against a plain version, and with nulls, empty and long texts, repeats, empty tables and odd columns."""
 
 import hashlib
+import os
 import random
 import re
 from itertools import combinations
@@ -127,6 +128,30 @@ def test_decision_in_feature_space_is_the_kernel_machine(monkeypatch):
     assert np.allclose(toxicity.Model(model.landmarks, model.weights, 0.3).decide(items), want, atol=1e-5)
 
 
+def plain_toxicity(model, text):
+    """A text's score word by word, each by the sum over landmarks of the normalised kernel."""
+    tokens = [w.strip(toxicity._EDGE) for w in text.lower().split()]
+    margin = {}
+    for w in set(tokens) - {""}:
+        margin[w] = toxicity.FLOOR if len(w) < toxicity.ORDER else max(toxicity.FLOOR, max(float(model.likeness([p])[0] @ model.weights) + model.bias for p in toxicity.parts(w)))
+    worst = sorted(margin.values(), reverse=True)[: toxicity.WORST]
+    each = [margin[w] for w in tokens if w]
+    n = len(tokens) + toxicity.FEW
+    features = worst + [toxicity.FLOOR] * (toxicity.WORST - len(worst)) + [sum(m > b for m in each) / n for b in toxicity.BEYOND]
+    features += [sum(min(max(m - toxicity.NEAR, 0), 3) for m in each) / n, np.log(n)]
+    return 0.0 if features[0] <= toxicity.FLOOR else 1 / (1 + np.exp(-(model.curve[0] + np.dot(features, model.curve[1:]))))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_toxicity_on_held_out_texts(spark):
+    """At least nine of ten toxic texts are found, at most two of a hundred others called so."""
+    from netlume.llm import queries
+
+    found = queries.op3_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
+    share = {r["toxic"]: r["p"] for r in found.groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()}
+    assert share[1] >= 0.9 and share[0] <= 0.02
+
+
 def test_toxicity(spark, odd, empty):
     rng = random.Random(3)
     docs, labels = [], []
@@ -142,6 +167,7 @@ def test_toxicity(spark, odd, empty):
     got = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame(fresh, "doc_id bigint, text string"), model).collect()}
     assert [got[k]["predicted"] for k in range(5)] == [0, 1, 1, 1, 0]
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(empty, model).count() == 0
+    assert [got[k]["score"] for k in range(5)] == pytest.approx([plain_toxicity(model, t) for _, t in fresh], abs=1e-4)
     none = toxicity.fit(odd, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0}
 
@@ -162,6 +188,69 @@ def test_main_text(page, text):
     assert html.main_text(page) == text
 
 
+STORY = "".join(f"<p>Paragraph {k} of a long story, with many words and <a href=x>one link</a> in it, and then some more words.</p>" for k in range(9))
+
+
+@pytest.mark.parametrize("wrapper", ['<div class="has-sidebar">%s</div>', '<div class="content with-sidebar">%s</div>', '<div class="layout-no-comments">%s</div>', '<div class="widget">%s</div>', '<div class="single comments-open">%s</div>', '<div id=page class="post-share">%s</div>', "<form action=x>%s</form>", "<article>%s</article>", '<div class="siteHeader">%s</div>', "%s"])
+def test_names_do_not_overrule_densities(wrapper):
+    """An article in a wrapper of any name keeps its title and text; what is furniture around it goes."""
+    page = f'<body><nav><ul><li><a href=a>Home</a><li><a href=b>News</a></ul></nav><div class=ad>Buy this.</div>{wrapper % (chr(60) + "div class=entry-header><h1>The title</h1></div>" + STORY + "<p>The end.</p>")}<footer>Imprint and so on</footer><div class="cookie-notice">We use cookies, is that fine?</div></body>'
+    got = html.main_text(page).split("\n\n")
+    assert got[0] == "The title" and got[-1] == "The end." and len(got) == 11 and all(x.startswith("Paragraph") for x in got[1:-1])
+
+
+def test_comments_and_teasers_are_left_out():
+    comments = "<section class=comments>" + "<article><p>I do not agree with any of this, and here is why I think so.</p></article>" * 30 + "</section>"
+    teasers = "<div>" + "<div><a href=t>Another story</a> <a href=u>More of it</a></div>" * 5 + "</div>"
+    got = html.main_text(f"<body><main><article><h1>T</h1><section>{STORY}</section><section>{STORY}</section><p>Short.</p>{comments}</article>{teasers}</main></body>").split("\n\n")
+    assert got[0] == "T" and got[-1] == "Short." and len(got) == 20
+
+
+def plain_densities(node, share):
+    """(characters, tags, link characters, link tags, density, sum of the children's densities) of a node, by definition and recursion."""
+    import math
+
+    def text(n, links_only, linked):
+        linked = linked or n.name == "a"
+        own = sum(len("".join(k.split())) for k in n.kids if isinstance(k, str)) * (linked or not links_only)
+        return own + sum(text(k, links_only, linked) for k in n.kids if isinstance(k, html.Node) and not k.dropped)
+
+    def tags(n, links_only, linked):
+        return sum((not links_only or linked or n.name == "a" or k.name == "a") + tags(k, links_only, linked or n.name == "a") for k in n.kids if isinstance(k, html.Node) and not k.dropped)
+
+    def density(n):
+        linked = any(x.name == "a" for x in html._ancestors(n.parent)) if n.parent is not None else False
+        c, t, lc, lt = text(n, False, linked), tags(n, False, linked), text(n, True, linked), tags(n, True, linked) + (linked or n.name == "a")
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
+        value = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+        return 0.0 if value <= 1 else c / max(t, 1) * (math.log(value) / math.log(base) if base > 1 else math.log(value))
+
+    return density(node), sum(density(k) for k in node.kids if isinstance(k, html.Node) and not k.dropped)
+
+
+def test_densities_against_their_definition():
+    rng = random.Random(13)
+    for _ in range(60):
+        page = "<body>" + "".join(rng.choice(["<div>", "</div>", "<p>", "some words here ", "<a href=x>link</a>", "<ul><li>item</ul>", "<b>bold</b>", "<nav>menu</nav>", "more and more text ", "<section class=comments>", "</section>"]) for _ in range(40)) + "</body>"
+        root = html.parse(page)
+        order, _ = html.measure(root)
+        body = next(n for n in order if n.name == "body")
+        share = body.link_chars / body.chars if body.chars else 0.0
+        for n in order:
+            assert (n.density, n.total) == pytest.approx(plain_densities(n, share)), page
+
+
+@pytest.mark.parametrize("piece", ['<a "', '<a x="', "<!", "<a", "</b", "<b><div>", "<!--", "<script", "</p", "&#", "<p x='\""])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    began = time.perf_counter()
+    html.main_text(piece * 60_000)
+    assert time.perf_counter() - began < 10
+
+
 def test_main_text_of_long_and_broken_pages(spark):
     body = "".join(f"<p>paragraph {k} with some words</p>" for k in range(5000))
     assert html.main_text(f"<article>{body}</article>").count("\n\n") == 4999
@@ -324,6 +413,22 @@ def test_all_classes_that_link_share_a_centre(spark, size, num):
     assert sorted(map(tuple, jaccard.jaccard_components(docs, size=size, num=num).collect())) == plain_components(texts, size, num, 100)
 
 
+def test_counts_never_part_sets_that_link():
+    rng = np.random.default_rng(3)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+    sets = []
+    for n in (3, 40, 500, 520, 4000, 8200):
+        base = draw(n)
+        for share in (0.0, 0.02, 0.1, 0.3):
+            sets.append(np.unique(np.concatenate((base[rng.random(len(base)) >= share / 2], draw(int(n * share / 2) + 1)))))
+        sets.append(draw(n))
+    sizes, counts, roots = np.array([len(s) for s in sets]), [jaccard.range_counts(s) for s in sets], np.arange(len(sets)) % 17
+    for num in (90, 80, 50, 20):
+        linked = {k for k in range(len(sets)) for j in range(len(sets)) if roots[k] != roots[j] and 100 * len(np.intersect1d(sets[k], sets[j])) >= num * len(np.union1d(sets[k], sets[j]))}
+        kept = set(np.flatnonzero(jaccard.near_by_counts(sizes, counts, roots, num, 100)).tolist())
+        assert linked <= kept and (num < 80 or len(kept) < len(sets))
+
+
 def test_jaccard_of_rows_without_ids_and_odd_thresholds(spark):
     docs = spark.createDataFrame([(None, f"one two three four five six seven {k % 3}") for k in range(60)] + [(7, "one two three four five six seven 0")], "doc_id bigint, text string")
     got = jaccard.jaccard_components(docs, size=1, num=70).collect()
