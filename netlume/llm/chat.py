@@ -4,7 +4,8 @@ A record is a JSON object in any layout.  The set of its nested field paths (arr
 digest selects a declarative mapping, and the mapping turns the record into canonical turns of role and text.  The turns
 are rendered with a template whose control strings are escaped inside roles and texts, so that reading back is exact.
 
-Defined results: a null record, invalid JSON, or a layout that no mapping knows has `layout` null and no turns; a null
+Defined results: a null record, invalid or too deeply nested JSON, or a layout that no mapping knows has `layout` null and
+no turns, and so has a list of turns with an element that is no object; half of a surrogate pair becomes U+FFFD; a null
 text is empty; a null role is empty; fields outside every mapping are ignored; repeated and tied turns are all kept, in
 the order of turn, role, text; very long texts are kept whole.  One record is one output row, so its text has to fit in
 one cell, as everywhere in Spark.
@@ -20,13 +21,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Strings that mark turns, here or in common templates; escaped wherever they occur inside a role or text.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 OPEN, MIDDLE, CLOSE = "<s>[INST]", "[/INST]", "</s>"
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_PATH_MARKS = re.compile(r"[\\.\[\]]")
+_SURROGATE = re.compile("[\ud800-\udfff]")
 
 
 @dataclass(frozen=True)
@@ -72,9 +75,10 @@ ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assi
 
 
 def field_paths(value, prefix: str = "") -> set[str]:
-    """Nested field paths of a JSON value down to its leaves."""
+    """Nested field paths of a JSON value down to its leaves; names that look like paths are escaped."""
     if isinstance(value, dict):
-        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items())) if value else {prefix}
+        named = ((_PATH_MARKS.sub(r"\\\g<0>", k), v) for k, v in value.items())
+        return set().union(*(field_paths(v, f"{prefix}.{k}" if prefix else k) for k, v in named)) if value else {prefix}
     if isinstance(value, list):
         return set().union(*(field_paths(v, f"{prefix}[]") for v in value)) if value else {f"{prefix}[]"}
     return {prefix}
@@ -84,6 +88,24 @@ def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:32]
 
 
+def whole(text: str) -> str:
+    """Surrogate pairs as their character, halves as U+FFFD."""
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace") if _SURROGATE.search(text) else text
+
+
+def said(value) -> str:
+    """A value as text: null is empty, what is no string stays JSON."""
+    return whole(value) if isinstance(value, str) else "" if value is None else whole(json.dumps(value, ensure_ascii=False))
+
+
+def loaded(raw: str | None):
+    """A record's value, or None."""
+    try:
+        return json.loads(raw) if raw is not None else None
+    except (ValueError, RecursionError):
+        return None
+
+
 class Layouts:
     """Mappings by the fingerprint of each layout that they accept."""
 
@@ -102,13 +124,16 @@ class Layouts:
 
     def turns(self, record) -> tuple[str, str | None, list[tuple[str, str]]]:
         """Fingerprint, layout name and turns."""
-        digest, m = self.select(record)
-        if m is None:
+        try:
+            digest, m = self.select(record)
+        except RecursionError:
+            digest, m = fingerprint(()), None
+        items = record.get(m.items) if m is not None and m.items else []
+        if m is None or not isinstance(items, list) or not all(isinstance(x, dict) for x in items):
             return digest, None, []
-        said = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x, ensure_ascii=False)
         if m.items:
             out = [("system", said(record["system"]))] if record.get("system") else []
-            for x in record[m.items]:
+            for x in items:
                 role = said(x.get(m.role))
                 out.append((ROLES.get(role, role), said(x.get(m.text))))
             return digest, m.name, out
@@ -151,11 +176,23 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One JSON record a conversation from rows of turns; null keys form a conversation of their own."""
+def records(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", layouts: tuple[str, ...] = ("turns",)) -> DataFrame:
+    """One JSON record a conversation from rows of turns; null keys form a conversation of their own.
+
+    With several layouts (of MAPPINGS with `items`) a hash of the key deals conversations to them, as in a mixed corpus.
+    """
+    by_name = {m.name: m for m in MAPPINGS if m.items}
     one = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    listed = F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("turns")), {"ignoreNullFields": "false"})
-    return rows.groupBy(F.col(conv).alias(conv)).agg(listed.alias("record"))
+    turns = rows.groupBy(F.col(conv).alias(conv)).agg(F.array_sort(F.collect_list(one)).alias("_turns"))
+
+    def laid_out(m: Mapping) -> Column:
+        extra = [("turn", "turn")] if f"{m.items}[].turn" in m.optional else []
+        each = F.transform("_turns", lambda x: F.struct(x["role"].alias(m.role), x["text"].alias(m.text), *[x[a].alias(b) for a, b in extra]))
+        return F.to_json(F.struct(each.alias(m.items)), {"ignoreNullFields": "false"})
+
+    choice = F.pmod(F.xxhash64(F.col(conv).cast("string")), F.lit(len(layouts)))
+    record = F.coalesce(*[F.when(choice == k, laid_out(by_name[name])) for k, name in enumerate(layouts)])
+    return turns.select(F.col(conv), record.alias("record"))
 
 
 def format_chat(df: DataFrame, record: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
@@ -168,11 +205,7 @@ def format_chat(df: DataFrame, record: str = "record", mappings: tuple[Mapping,
         for b in batches:
             made = []
             for raw in b[record]:
-                try:
-                    value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                digest, layout, turns = layouts.turns(value)
+                digest, layout, turns = layouts.turns(loaded(raw))
                 text, spans = render(turns)
                 made.append((digest, layout, text, [{"start": s, "end": e} for s, e in spans]))
             out = b[kept].reset_index(drop=True)

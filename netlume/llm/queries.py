@@ -25,7 +25,8 @@ def tokenizer(name: str) -> str:
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], rows.schema)
-    return chat.formatted_digests(chat.format_chat(chat.records(rows.unionByName(more)))).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    mixed = chat.records(rows.unionByName(more), layouts=("turns", "messages", "shared", "dialogue"))
+    return chat.formatted_digests(chat.format_chat(mixed)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
 def remainder(divisor: int) -> F.Column:
@@ -62,7 +63,7 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), batches=2)
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
