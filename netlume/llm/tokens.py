@@ -4,6 +4,8 @@ The SHA-256 of the normalised content (null is empty, UTF-8) and of the tokenize
 the cache lacks are made distinct, one text of each is encoded, and the new counts are appended to the cache; all rows
 then take their counts from it.  Copies, however many, cost one encoding, and only digests are grouped, never texts.
 
+A table may be counted in batches, dealt by a hash of the ids: later ones find what earlier ones have stored.
+
 Defined results: null and empty texts have 0 tokens; equal texts share a count; rows with equal ids are kept; special
 strings inside texts are tokens of their own, as the library's default is; other columns are ignored.
 """
@@ -11,9 +13,10 @@ strings inside texts are tokens of their own, as the library's default is; other
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,25 +28,43 @@ WORDS_KEPT = 600_000
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens bigint"
 
 
-def tokenizer_text(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
+def tokenizer_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
         return f.read()
 
 
+def splits_at_spaces(definition: dict) -> bool:
+    """Whether a single space between two other characters always begins a piece: byte-level pieces, texts taken as they are."""
+    before = definition.get("pre_tokenizer") or {}
+    return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and definition.get("normalizer") is None and (definition.get("model") or {}).get("type") == "BPE"
+
+
+class PieceCounter:
+    """Counts the pieces of a SentencePiece model."""
+
+    def __init__(self, definition: bytes):
+        from sentencepiece import SentencePieceProcessor
+
+        self.encoder = SentencePieceProcessor(model_proto=definition)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        return [len(x) for x in self.encoder.encode(texts, num_threads=1)] if texts else []
+
+
 class Counter:
-    """Counts tokens as the library does, encoding each distinct space-delimited chunk once.
+    """Counts tokens as the library does; if pieces begin at single spaces, each distinct chunk between them is encoded once.
 
-    In a byte-level vocabulary a single space between two other characters always begins a piece, so a text's count is
-    the sum over its chunks, each with the space before it.
+    A text's count is then the sum over its chunks, each with the space before it.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.encoder = Tokenizer.from_str(definition)
+        self.encoder = Tokenizer.from_str(definition.decode())
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        self.chunked = splits_at_spaces(json.loads(definition))
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
 
@@ -51,6 +72,8 @@ class Counter:
         return [len(e.ids) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
+        if not self.chunked:
+            return self.whole(texts)
         out, known = [0] * len(texts), self.known
         odd, plain, lacking = [], [], set()
         for k, text in enumerate(texts):
@@ -75,15 +98,15 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter_of(definition: str) -> Counter:
+def counter_of(definition: bytes) -> Counter | PieceCounter:
     """Kept by the Python worker from task to task."""
-    return Counter(definition)
+    return Counter(definition) if definition.lstrip()[:1] == b"{" else PieceCounter(definition)
 
 
-def append_misses(docs: DataFrame, definition: str, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def append_misses(docs: DataFrame, definition: bytes, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Appends the counts of contents that the cache at this path lacks; returns (key, n_bytes, digest) of all rows."""
     spark = docs.sparkSession
-    version = hashlib.sha256(definition.encode()).digest()
+    version = hashlib.sha256(definition).digest()
     content = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(F.col(key).alias("key"), content.alias("content"))
     keyed = named.select("key", F.unhex(F.sha2("content", 256)).alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes"))
@@ -109,15 +132,18 @@ def append_misses(docs: DataFrame, definition: str, cache: str, key: str = "doc_
     return keyed
 
 
-def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 1024, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_tokens, over_limit for every row; `cache` is a folder of counts kept from run to run."""
+def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 1024, key: str = "doc_id", text: str = "text", batches: int = 1) -> DataFrame:
+    """key, n_bytes, n_tokens, over_limit for every row; `cache` is a folder of counts kept from run to run.
+
+    `path` names a definition of the tokenizers library or a SentencePiece model.
+    """
     spark = docs.sparkSession
-    definition = tokenizer_text(path)
-    version = hashlib.sha256(definition.encode()).digest()
+    definition = tokenizer_bytes(path)
+    version = hashlib.sha256(definition).digest()
     cache = cache or workspace.scratch(spark, "token-counts")
-    keyed = append_misses(docs, definition, cache, key, text)
+    batch = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(batches))
+    keyed = reduce(DataFrame.unionAll, [append_misses(docs if batches == 1 else docs.filter(batch == k), definition, cache, key, text) for k in range(batches)])
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == F.lit(version))
-    stored = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the join deals both sides on its own and can split a digest that very many rows have
+    stored = workspace.written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "stored")
     return keyed.join(stored, "digest").select(F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
