@@ -39,6 +39,7 @@ def labelled(docs: DataFrame, labels: DataFrame, kept: int = LABELS_KEPT, key: s
     """key, text and quality (null where the bounded sample has no label); one label a document."""
     one = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("labelled")).agg(F.max("quality").cast("int").alias("quality"))
     sample = one.orderBy(F.xxhash64("labelled"), "labelled").limit(kept)
+    # the sample has LABELS_KEPT rows of an id and a number at most
     return docs.select(F.col(key), F.col(text)).join(F.broadcast(sample), F.col(key) == F.col("labelled"), "left").select(key, text, "quality")
 
 
@@ -117,9 +118,9 @@ def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
 
 
 def nth_largest(rows: DataFrame, name: str, k: int) -> int:
-    """The k-th largest value of a bigint column, by three histograms of some thousand bars each."""
+    """The k-th largest value of a bigint column, by histograms of 4,096 bars at most."""
     low, chosen = 0, rows.select(F.col(name).alias("v"))
-    for shift in (40, 20, 0):
+    for shift in (60, 48, 36, 24, 12, 0):
         bars = sorted(((r["bar"], r["count"]) for r in chosen.groupBy(F.shiftright("v", shift).alias("bar")).count().collect()), reverse=True)
         for bar, n in bars:
             if k <= n:
@@ -139,7 +140,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     scored = scored.withColumn("draw", F.col("log_weight") - F.log(-F.log(noise))).withColumn("place", F.floor(F.col("draw") * SCALE).cast("bigint"))
     scored = workspace.written(scored, "weights")
     if k is None:
-        known = scored.filter(F.col("quality").isNotNull()).select("log_weight", "quality").toPandas()  # LABELS_KEPT rows at most, and their repeats
+        # one row for each labelled id, LABELS_KEPT at most: of rows that share one, the heaviest
+        known = scored.filter(F.col("quality").isNotNull()).groupBy(key).agg(F.max("log_weight").alias("log_weight"), F.max("quality").alias("quality")).toPandas()
         cut = best_cut(known["log_weight"].to_numpy(float), known["quality"].to_numpy() == 1)
         k = scored.filter(F.col("log_weight") > cut).count() if cut > -np.inf else scored.count()
     last = nth_largest(scored, "place", k) if k else None
