@@ -7,7 +7,8 @@ stretches of text move on at once, one vector step each, and every match is one
 
 Defined results: null texts have no words; items without words have no windows; an item of fewer words than a window is
 one window; repeated items or rows each count; very long texts are searched whole.  Items are taken in blocks of bounded
-size, each broadcast in turn, so a benchmark of any size works.
+size.  A benchmark of one block is searched for in one pass; of several, each block has a pass of its own, one after the
+other, and only one is held at a time; rows then take the hits of their key and text's digest.  Results are the same.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import workspace
 from .arrow_text import units, utf8, words_joined
 
 #: UTF-8 bytes of benchmark text in one broadcast block of items.
@@ -131,16 +133,16 @@ class Matcher:
         return np.diff(rows), found
 
 
-def item_blocks(benchmark: DataFrame, item: str, text: str) -> list[DataFrame]:
-    """The items dealt into blocks of about BLOCK_BYTES."""
+def item_blocks(benchmark: DataFrame, item: str, text: str) -> tuple[int, DataFrame]:
+    """Number of blocks of about BLOCK_BYTES, and the items with their block."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n = int(size // BLOCK_BYTES) + 1
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+    return n, rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
 
 
 def find_windows(docs: DataFrame, items: list[tuple[str, str]], size: int, key: str, text: str) -> DataFrame:
-    """key, row (tells equal keys apart), n_words, spans, items: occurrences of one block of items."""
+    """key, row (as given), n_words, spans, items: occurrences of one block of items."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,19 +160,29 @@ def find_windows(docs: DataFrame, items: list[tuple[str, str]], size: int, key:
                 )
 
     kind = dict(docs.dtypes)[key]
-    schema = f"`{key}` {kind}, row bigint, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
+    schema = f"`{key}` {kind}, row string, n_words bigint, spans array<struct<start: bigint, end: bigint>>, items array<string>"
     return docs.select(F.col(key), "row", F.col(text)).mapInArrow(run, schema)
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 10, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """key, n_words, spans (word ranges hit), items (ids as sorted strings): one row for each document."""
-    blocks = item_blocks(benchmark, item, item_text)
-    numbered = docs.select(F.col(key), F.col(text), (F.monotonically_increasing_id() if len(blocks) > 1 else F.lit(0).cast("bigint")).alias("row"))
-    found = [find_windows(numbered, [(r["item"], r["text"]) for r in block.collect()], size, key, text) for block in blocks]
-    if len(found) == 1:
-        return found[0].drop("row")
-    every = reduce(DataFrame.unionAll, found)
-    return every.groupBy(key, "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).drop("row")
+    n, rows = item_blocks(benchmark, item, item_text)
+    held = lambda k: [(r["item"], r["text"]) for r in rows.filter(F.col("block") == k).collect()]  # noqa: E731  BLOCK_BYTES or so
+    if n == 1:
+        return find_windows(docs.select(F.col(key), F.col(text), F.lit("").alias("row")), held(0), size, key, text).drop("row")
+    named = docs.select(F.col(key), F.col(text), F.sha2(F.col(text), 256).alias("row"))
+    parts = []
+    for k in range(n):
+        found = find_windows(named, held(k), size, key, text)
+        parts.append(workspace.written(found.filter(F.size("items") > 0).select(F.col(key).alias("key"), "row", "spans", "items"), "hits"))
+    # rows of one key and text have the same hits: each block's count once
+    hits = reduce(DataFrame.unionAll, [p.dropDuplicates(["key", "row"]) for p in parts])
+    hits = workspace.written(hits.groupBy("key", "row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumnRenamed("row", "hit"), "hits")
+    words = find_windows(named, [], size, key, text).select(key, "row", "n_words")
+    words = words.select(F.col(key).alias("own"), "row", "n_words")
+    joined = words.join(hits, F.col("own").eqNullSafe(F.col("key")) & F.col("row").eqNullSafe(F.col("hit")), "left")
+    none = hits.schema
+    return joined.select(F.col("own").alias(key), "n_words", F.coalesce("spans", F.array().cast(none["spans"].dataType)).alias("spans"), F.coalesce("items", F.array().cast(none["items"].dataType)).alias("items"))
 
 
 def covered(spans) -> F.Column:
