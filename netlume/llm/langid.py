@@ -4,8 +4,9 @@ A text's letters become hashed byte n-grams, weighted by TF-IDF and normalised.
 several centroids; a text takes the language of the centroid of the highest cosine.  A text is rejected if that cosine is
 far below what texts of its length had when the model was fitted.
 
-Document frequencies are counted over all training rows; the centroids are fitted on a sample of them, drawn with
-a fixed seed, of `SAMPLE_ROWS` rows in expectation, shared equally by the languages.
+Document frequencies are counted over all training rows; the centroids are fitted on a sample of them, drawn by
+a hash of their text, of `SAMPLE_ROWS` rows in expectation, shared equally by the languages: the same rows whatever the
+partitions.
 
 Defined results: a null text, or one without a letter, is `und` with score 0 and rejected; a text without n-grams of its
 letters takes the first language with score 0; ties go to the language that sorts first; training rows with a null text
@@ -131,7 +132,7 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: i
                 x = weighted(counts, shared.value).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(1).slice(first, last - first), pa.array([v.tobytes() for v in x], pa.binary()), pa.array(length_class(counts))], ["lang", "vector", "length"])
 
-    sample = rows.filter(F.rand(11) < share[F.col("lang")]).mapInArrow(vectorised, "lang string, vector binary, length bigint").collect()
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)).mapInArrow(vectorised, "lang string, vector binary, length bigint").collect()
     order = sorted(range(len(sample)), key=lambda k: (sample[k]["lang"], sample[k]["vector"]))
     names = np.array([sample[k]["lang"] for k in order], dtype=object)
     x = np.stack([np.frombuffer(sample[k]["vector"], np.float16) for k in order]).astype(np.float32) if order else np.zeros((0, BUCKETS), np.float32)

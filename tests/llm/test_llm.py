@@ -503,7 +503,7 @@ def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"x alpha{k} beta gamma y alpha{k + 1} beta gamma") for k in range(25)], "doc_id bigint, text string")
     one = rows(decontam.decontaminate(docs, items))
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 60)
-    assert len(decontam.item_blocks(items, "item_id", "text")) > 3 and rows(decontam.decontaminate(docs, items)) == one
+    assert decontam.item_blocks(items, "item_id", "text")[0] > 3 and rows(decontam.decontaminate(docs, items)) == one
 
 
 # byte-pair encoding
@@ -531,3 +531,161 @@ def test_codec_is_exact(spark, odd, empty):
 def test_utf8_views_of_slices():
     data, offsets = utf8(pa.array(["a", None, "çé", "zz"]).slice(1))
     assert bytes(data).decode() == "çézz" and offsets.tolist() == [0, 0, 4, 6]
+
+
+# whole results against plain versions
+
+
+@pytest.mark.parametrize("raw", ['{"messages":[null]}', '{"messages":["a"]}', '{"messages":[{"role":"user","content":"a"},"b"]}', '{"messages[]":1}', '{"messages":{"role":"user"}}', '{"messages[].role":1,"messages[].content":2}', "[" * 100_000, '{"a":' * 5_000 + "1" + "}" * 5_000, '"x"', "nul"])
+def test_odd_records_have_no_turns(spark, raw):
+    got = chat.format_chat(spark.createDataFrame([(1, raw)], "k bigint, record string")).first()
+    assert got["layout"] is None and got["formatted"] == "" and got["loss_spans"] == []
+
+
+def test_surrogates_and_mixed_layouts(spark):
+    raw = '{"messages":[{"role":"user","content":"a\\ud800b"},{"role":"assistant","content":"\\ud83d\\ude00"}]}'
+    got = chat.format_chat(spark.createDataFrame([(1, raw)], "k bigint, record string"))
+    assert chat.read_back(got.first()["formatted"]) == [("user", "a�b"), ("assistant", "😀")]
+    assert chat.formatted_digests(got, "k").first()["loss_chars"] == 1
+    turns = [(c, t, ["user", None, "assistant"][t % 3], [f"text {c}", None, "<s>"][t % 3]) for c in range(40) for t in range(4)]
+    rows_ = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    names = ("turns", "messages", "shared", "dialogue")
+    one, mixed = (chat.format_chat(chat.records(rows_, layouts=x)) for x in (("turns",), names))
+    assert {r["layout"] for r in mixed.collect()} == set(names) and len({r["fingerprint"] for r in mixed.collect()}) == 4
+    assert rows(one.select("conv_id", "formatted")) == rows(mixed.select("conv_id", "formatted"))
+
+
+def test_languages_against_a_plain_search(spark, odd):
+    rng = random.Random(4)
+    train = [(k, prose(rng, lang, rng.choice([8, 40, 200])), lang) for k in range(300) for lang in ["en", "de"][k % 2 : k % 2 + 1]]
+    model = langid.fit(spark.createDataFrame(train, "doc_id bigint, text string, lang string"))
+    fresh = [(k, prose(rng, ["en", "de"][k % 2], rng.choice([5, 30, 300]))) for k in range(60)] + [(100, "zq xj kv " * 30), (101, "12 3"), (102, None)]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(fresh, "doc_id bigint, text string"), model).collect()}
+    mult = lambda n: 0x9E3779B97F4A7C15 + 2 * n
+    for k, text in fresh:
+        raw = (text or "").lower().encode()
+        word = "".join(chr(b) if b >= 0x80 or chr(b).isalpha() else " " for b in raw).split()
+        flat = (" " + " ".join(word) + " ").encode("latin-1") if word else b""
+        tf = {}
+        for n in langid.GRAMS:
+            for at in range(len(flat) - n + 1):
+                h = (int.from_bytes(flat[at : at + n], "little") * mult(n) & (1 << 64) - 1) >> (65 - langid.BUCKETS.bit_length())
+                tf[h] = tf.get(h, 0) + 1
+        v = {h: np.log1p(c) * model.idf[h] for h, c in tf.items()}
+        norm = sum(x * x for x in v.values()) ** 0.5 or 1.0
+        cosine = [sum(x * float(c[h]) for h, x in v.items()) / norm for c in model.centroids]
+        if word:
+            assert got[k]["lang_pred"] == model.languages[model.owner[int(np.argmax(cosine))]] and got[k]["score"] == pytest.approx(max(cosine), abs=1e-4), text
+        else:
+            assert (got[k]["lang_pred"], got[k]["score"], got[k]["rejected"]) == ("und", 0.0, True)
+    assert got[100]["rejected"] and not any(got[k]["rejected"] for k in range(60))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="the tables are not here")
+def test_languages_of_held_out_texts_and_rejection(spark):
+    """Held-out texts get their language and stay; texts of a language that was not learnt, and noise, are rejected."""
+    from netlume.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("text IS NOT NULL AND lang IS NOT NULL")
+    held = queries.remainder(4) == 2
+    model = langid.fit(docs.filter(~held))
+    found = langid.identify(docs.filter(held), model).join(docs.select("doc_id", "lang"), "doc_id")
+    got = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")).alias("right"), F.avg(F.col("rejected").cast("int")).alias("gone")).first()
+    assert got["right"] > 0.99 and got["gone"] < 0.005
+    less = langid.fit(docs.filter(~held & (F.col("lang") != "es")))
+    gone = langid.identify(docs.filter(held & (F.col("lang") == "es") & (F.length("text") > 100)), less).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert gone > 0.95
+    rng = random.Random(2)
+    noise = [(k, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(rng.choice([60, 400, 3000])))) for k in range(100)]
+    assert langid.identify(spark.createDataFrame(noise, "doc_id bigint, text string"), model).agg(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.95
+
+
+def test_resampling_against_plain_counts(spark):
+    rng = random.Random(9)
+    docs = [(k, prose(rng, ["en", "de"][k % 2], rng.choice([3, 20, 80]))) for k in range(60)] + [(90, None), (91, "abc"), (92, "ä€😀ä€😀")]
+    labels = [(k, 1 - k % 2) for k in range(0, 60, 3)]
+    d, l = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality.resample(d, l, k=20).collect()}
+    bucket = lambda g: (int.from_bytes(g, "little") * (0x9E3779B97F4A7C15 + 8) & (1 << 64) - 1) >> (65 - quality.BUCKETS.bit_length())
+    grams = {k: [bucket(b[at : at + 4]) for b in [(t or "").encode()] for at in range(len(b) - 3)] for k, t in docs}
+    raw, target = {}, {}
+    for k, _ in docs:
+        for g in grams[k]:
+            raw[g] = raw.get(g, 0) + 1
+            if dict(labels).get(k) == 1:
+                target[g] = target.get(g, 0) + 1
+    share = lambda c, g: np.log((c.get(g, 0) + quality.PRIOR) / (sum(c.values()) + quality.PRIOR * quality.BUCKETS))
+    for k, _ in docs:
+        assert got[k]["log_weight"] == pytest.approx(sum(share(target, g) - share(raw, g) for g in grams[k]), abs=1e-5) and got[k]["n_ngrams"] == len(grams[k])
+    best = sorted(got, key=lambda k: -got[k]["draw"])[:20]
+    assert {k for k in got if got[k]["selected"]} == set(best)
+    numbers = spark.createDataFrame([(v,) for v in [-(10**15), -5, 0, 3, 3, 10**9, 10**15]], "v bigint")
+    assert [quality.nth_largest(numbers, "v", k) for k in range(1, 8)] == [10**15, 10**9, 3, 3, 0, -5, -(10**15)]
+
+
+def plain_fingerprint(text, rank):
+    """Feature hashes of a text: of each run of windows the rarest, leftmost of equals; those with enough votes."""
+    import math
+
+    raw = text.encode()
+    W, R = fingerprint.WINDOW, fingerprint.RUN
+    n = len(raw) - W + 1
+    places = []
+    for at in range(max(n, 0)):
+        window = raw[at : at + W]
+        total = sum(round(c * math.log2(c) * 1024) for c in (window.count(b) for b in set(window)))
+        bin_ = (fingerprint.BINS - 1) - total * (fingerprint.BINS - 1) // round(W * math.log2(W) * 1024)
+        places.append(int(rank[bin_]))
+    votes = {}
+    for first in range(-R + 1, max(n, 0)):  # runs reach beyond both ends
+        run = [(places[k], k) for k in range(max(first, 0), min(first + R, n)) if places[k] != fingerprint.BINS]
+        if run:
+            votes[min(run)[1]] = votes.get(min(run)[1], 0) + 1
+    out = []
+    for at in sorted(k for k, v in votes.items() if v >= fingerprint.VOTES):
+        words = np.frombuffer(raw[at : at + W], "<u8")
+        out.append(int(fingerprint.mixed(fingerprint.mixed(words * fingerprint._ODD).sum(dtype=np.uint64)[None])[0]))
+    if not out and raw:
+        out = [int.from_bytes(hashlib.sha256(raw).digest()[:8], "little")]
+    return list(dict.fromkeys(out))
+
+
+def test_fingerprints_against_plain_selection(spark):
+    rng = random.Random(8)
+    docs = [(k, t) for k, t in enumerate([prose(rng, "en", 150), prose(rng, "de", 400), "x" * 300, "short", "", None, prose(rng, "en", 40) + "é世" * 60])]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    rank = fingerprint.ranks(fingerprint.histogram(df))
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprint.fingerprints(df, rank).collect()}
+    plain = {k: plain_fingerprint(t or "", rank) for k, t in docs}
+    for k, hashes in plain.items():
+        bits = [set() for _ in range(-(-len(hashes) // fingerprint.FEATURES))]
+        for n, h in enumerate(hashes):
+            bits[n // fingerprint.FEATURES] |= {(h >> (11 * j)) & (fingerprint.BITS - 1) for j in range(fingerprint.HASHES)}
+        chain = fingerprint.Chain.of(got[k])
+        assert chain.n == len(hashes) and [set(np.flatnonzero(f).tolist()) for f in chain.filters] == bits, k
+    a, b = fingerprint.Chain.of(got[0]), fingerprint.Chain.of(got[6])
+    best = 0.0
+    x, y = (set(np.flatnonzero(c.filters[0]).tolist()) for c in (a, b))
+    chance, most = len(x) * len(y) / fingerprint.BITS, min(len(x), len(y))
+    best = max(best, (len(x & y) - chance) / (most - chance))
+    assert len(a.filters) == len(b.filters) == 1 and a.like(b) == pytest.approx(min(max(best, 0), 1), abs=1e-5) and a.like(a) == pytest.approx(1)
+
+
+def test_other_tokenizers_and_batches(spark, odd, tmp_path):
+    texts = [t or "" for _, t in ODD] + ["two  blanks", " leading", "a\n\n b", "ünïcode – x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    library = Tokenizer.from_file(str(P.path("word_bpe_49k.json")))
+    got = dict((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(df, P.path("word_bpe_49k.json"), batches=3).collect())
+    assert got == {k: len(library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts)}
+    from sentencepiece import SentencePieceProcessor
+
+    pieces = SentencePieceProcessor(model_file=str(P.path("piece_bpe_32k.model")))
+    got = dict((r["doc_id"], r["n_tokens"]) for r in tokens.count_tokens(df, P.path("piece_bpe_32k.model")).collect())
+    assert got == {k: len(pieces.encode(t)) for k, t in enumerate(texts)}
+
+
+def test_later_batches_find_what_earlier_ones_stored(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(k, f"text {k % 5}") for k in range(60)], "doc_id bigint, text string")
+    path, cache = P.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache"
+    tokens.count_tokens(df, path, cache, batches=4).collect()
+    assert spark.read.parquet(cache).count() == 5
