@@ -35,6 +35,18 @@ def counted(obs: DataFrame, keys: list[str], amount: Column, category: str, seve
     return _gated(_alerts(hot, category, severity, F.col("_m")).drop("_m"), gate_keys or keys, gate)
 
 
+def several_counted(obs: DataFrame, keys: list[str], tests: dict[str, tuple[str, Column, int, Column]], width: int) -> DataFrame:
+    """Ungated alerts of several tests (category: severity, amount, limit, rows that may alert) on sums by the same keys and window.
+
+    One shuffle and one sort serve all of them.
+    """
+    names = {c: f"_m{k}" for k, c in enumerate(tests)}
+    rated = windows.with_rates(obs, keys, {names[c]: amount for c, (_, amount, _, _) in tests.items()}, width)
+    alert = lambda c, severity, limit, rows: F.when(rows & (F.col(names[c]) > limit), F.struct(F.lit(c).alias("category"), F.lit(severity).alias("severity"), F.col(names[c]).alias("measure")))
+    found = F.filter(F.array(*[alert(c, severity, limit, rows) for c, (severity, _, limit, rows) in tests.items()]), lambda x: x.isNotNull())
+    return rated.select(*obs.columns, F.explode(found).alias("_a")).select(*obs.columns, "_a.*")
+
+
 def spread(obs: DataFrame, keys: list[str], value: str, category: str, severity: str, width: int, limit: int, gate: int | None, gate_keys: list[str] | None = None) -> DataFrame:
     """Alerts where the number of different values in the window exceeds the limit; no set of values is gathered."""
     hot = windows.distinct_by_intervals(obs, keys, value, width, name="_m").filter(F.col("_m") > limit)

@@ -403,20 +403,66 @@ def alert_rollup(spark, sf_dir):
 # the whole chain ----------------------------------------------------------------------------------------------------
 
 
-@query(None)
+def _chain(source: str, name: str, span: int) -> str:
+    """anchored() over (category, src) under a name of its own."""
+    return anchored(source, "category, src", span).replace("anchors AS", f"{name} AS", 1).replace("FROM anchors r", f"FROM {name} r")
+
+
+_AT = "CAST(ts_sec AS HUGEINT) * 100000000000 + seq"
+_PIPELINE = f"""WITH RECURSIVE {OBS}, {RANGE_SQL}, {GAPS}, refused AS (SELECT * FROM obs WHERE dst_port = 'error'),
+    hot AS (SELECT 'BRUTE_FORCE' AS category, 'high' AS severity, src, ts_sec, seq FROM refused o WHERE {sliding("count(*)", "src", 3 * DAY).replace("FROM obs p", "FROM refused p")} > 2
+        UNION ALL SELECT 'DATA_EXFIL_VOLUME', 'medium', src, ts_sec, seq FROM obs o WHERE {sliding("sum(bytes_out)", "src", 3 * DAY)} > 60000
+        UNION ALL SELECT 'HORIZONTAL_SCAN', 'high', src, ts_sec, seq FROM refused o WHERE {sliding("count(DISTINCT dst)", "src, dst_port", 7 * DAY).replace("FROM obs p", "FROM refused p")} > 3
+        UNION ALL SELECT 'BEACONING', 'medium', src, ts_sec, ts_sec FROM rings WHERE n_gaps >= 6 AND dev / gap_mean <= 0.5 AND gap_mean >= 5),
+    {_chain("hot", "a1", DAY)}, passed AS (SELECT hot.* FROM hot JOIN (SELECT DISTINCT category, src, a FROM a1) USING (category, src) WHERE {_AT} = a),
+    {_chain("passed", "a2", 10 * DAY)}, placed AS (SELECT p.*, (SELECT max(a) FROM a2 WHERE a2.category = p.category AND a2.src = p.src AND a <= {_AT}) AS win FROM passed p),
+    limited AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY category, src, win ORDER BY ts_sec, seq) AS n FROM placed) WHERE n <= 3),
+    allowed AS (SELECT category, severity, src, ts_sec, seq FROM limited WHERE NOT (category = 'BEACONING' AND src = 2)),
+    {_chain("allowed", "a3", DAY)}, held AS (SELECT p.*, (SELECT max(a) FROM a3 WHERE a3.category = p.category AND a3.src = p.src AND a <= {_AT}) AS win FROM allowed p),
+    firsts AS (SELECT *, coalesce(lag(more) OVER (PARTITION BY category, src ORDER BY ts_sec, seq), 0) AS suppressed FROM (SELECT *, count(*) OVER (PARTITION BY category, src, win) - 1 AS more, {_AT} = win AS is_first FROM held) WHERE is_first)
+    SELECT ts_sec, category, severity, src, (SELECT arg_max(tag, lo) FROM ranges WHERE src BETWEEN lo AND hi) AS src_tag, suppressed FROM firsts"""
+
+
+@query(_PIPELINE)
 def alert_pipeline(spark, sf_dir):
-    """Observations through four detectors, rate control, allowlist, suppression and tags: the flagship."""
+    """Observations through four detectors, their gates, rate control, allowlist, suppression and tags: the flagship.
+
+    Two detectors share a shuffle and a sort, and all four one gate, as their gates have the same key beside the category.
+    """
     obs = observations(spark, sf_dir)
+    refused = F.col("dst_port") == "error"
+    tests = {"BRUTE_FORCE": ("high", F.when(refused, 1), 2, refused), "DATA_EXFIL_VOLUME": ("medium", F.col("bytes_out"), 60_000, F.lit(True))}
     common = ["ts_sec", "seq", "src", "category", "severity"]
     found = [
-        detectors.brute_force(obs.filter("dst_port = 'error'"), True, ["src"], width=3 * DAY, limit=2, gate=DAY), detectors.exfiltration_volume(obs, width=3 * DAY, limit=60_000, gate=DAY),
-        detectors.horizontal_scan(obs, width=7 * DAY, limit=3, gate=DAY), detectors.beaconing(obs, ["src"], cv=0.5, gate=DAY, idle=None),
+        detectors.several_counted(obs.select("ts_sec", "seq", "src", "dst_port", "bytes_out"), ["src"], tests, 3 * DAY),
+        detectors.horizontal_scan(obs.select("ts_sec", "seq", "src", "dst", "dst_port", "answered"), width=7 * DAY, limit=3, gate=None), detectors.beaconing(obs, ["src"], cv=0.5, gate=None, idle=None),
     ]
     alerts = found[0].select(*common)
     for f in found[1:]:
         alerts = alerts.unionByName(f.select(*common))
+    alerts = windows.gate(alerts, ["category", "src"], DAY)
     alerts = alerts.withColumn("sid", F.col("category")).withColumn("dst", F.lit(None).cast("bigint")).withColumn("port", F.lit(None).cast("int"))
     limited = control.threshold(alerts, "limit", "by_src", 3, 10 * DAY)
     allowed = enrich.allow(limited, spark.createDataFrame([("beaconing", 2, None, None)], "category string, src bigint, dst bigint, port int"))
     kept = control.suppress(allowed, ["category", "src"], DAY)
     return enrich.in_ranges(kept, "src", enrich.merge_ranges(feed(spark)), "src_tag").select("ts_sec", "category", "severity", "src", "src_tag", "suppressed")
+
+
+@query(f"""WITH RECURSIVE {OBS}, marked AS (SELECT *, CASE WHEN ts_sec - lag(ts_sec) OVER (PARTITION BY src ORDER BY ts_sec, seq) >= {5 * DAY} THEN 1 ELSE 0 END AS fresh FROM obs),
+    sess AS (SELECT src, ts_sec, sum(fresh) OVER (PARTITION BY src ORDER BY ts_sec, seq ROWS UNBOUNDED PRECEDING) AS session FROM marked), secs AS (SELECT DISTINCT src, session, ts_sec FROM sess),
+    lagged AS (SELECT *, ts_sec - lag(ts_sec) OVER (PARTITION BY src, session ORDER BY ts_sec) AS gap FROM secs),
+    rings AS (SELECT src, session, ts_sec, count(gap) OVER w AS n_gaps, avg(gap) OVER w AS gap_mean, stddev_pop(gap) OVER w AS dev FROM lagged WINDOW w AS (PARTITION BY src, session ORDER BY ts_sec ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)),
+    hot AS (SELECT src, session, ts_sec, ts_sec AS seq, gap_mean FROM rings WHERE n_gaps >= 6 AND dev / gap_mean <= 0.6 AND gap_mean >= 5), {anchored("hot", "src, session", DAY)}
+    SELECT src, ts_sec, round(gap_mean, 3) AS gap_mean FROM hot JOIN (SELECT DISTINCT src, session, a FROM anchors) USING (src, session) WHERE {_AT} = a""")
+def d08_beaconing_with_idle(spark, sf_dir):
+    """Gaps and gates that start anew after idleness."""
+    return detectors.beaconing(observations(spark, sf_dir), ["src"], cv=0.6, gate=DAY, idle=5 * DAY).select("src", "ts_sec", F.round("measure", 3).alias("gap_mean"))
+
+
+@query("SELECT o_orderkey AS flow_id FROM orders WHERE o_custkey % 5 <> 0 AND (o_orderkey % 4 = 0 AND o_orderpriority <> '1-URGENT' OR o_orderkey % 4 = 1 AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderkey % 4 = 2 AND o_orderpriority <> '3-MEDIUM')")
+def d13_protocol_mismatch_of_parsed_flows(spark, sf_dir):
+    """Flows of which some spoke the protocol of their port."""
+    o = table(spark, sf_dir, "orders")
+    port, said = F.element_at(F.array(F.lit(8080), F.lit(8443), F.lit(22), F.lit(9999)), (F.col("o_orderkey") % 4 + 1).cast("int")), F.col("o_orderpriority")
+    rows = o.select(F.col("o_orderkey").alias("flow_id"), port.alias("dst_port"), F.when(F.col("o_custkey") % 5 == 0, 255).otherwise(256).alias("client_bytes"), F.lit(True).alias("syn_seen"), F.when(said == "1-URGENT", "/").alias("http_uri"), F.when(said == "1-URGENT", "h").alias("tls_sni"), F.when(said == "2-HIGH", "j").alias("tls_ja3"), F.when(said == "3-MEDIUM", "SSH-2").alias("ssh_version"))
+    return detectors.protocol_mismatch(rows).select("flow_id")
