@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window, functions as F
 
 from netlume.operators import control, windows
 from netlume.streaming import stateful
@@ -60,3 +61,42 @@ def test_rules_reload_between_batches(spark, tmp_path):
     spark.streams.removeListener(counters)
     assert found == [(1, "one"), (2, "two"), (3, "two")] and rules.generation == 2 and rules.error
     assert counters.counts().get("batches", 0) >= 1
+
+
+def _files(spark, tmp_path, batches):
+    """A stream of one micro-batch for each list of rows."""
+    import time
+
+    schema = "ts_sec bigint, seq bigint, src string, amount bigint, big bigint"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.json(f"file://{tmp_path}/part{k}")
+        time.sleep(0.05)
+    read = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").json(f"file://{tmp_path}")
+    return read.withColumn("ts", F.timestamp_seconds("ts_sec"))
+
+
+def test_sliding_streams_equal_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(200), k, rng.choice("ab"), rng.randrange(5), rng.choice([None, 9007199254740993])) for k in range(90))
+    rows = [(s, k, a, b, c) for k, (s, _, a, b, c) in enumerate(rows)]
+    batches = [rows[:30], rows[30:60], rows[60:]]
+    plain = spark.createDataFrame(rows, "ts_sec bigint, seq bigint, src string, amount bigint, big bigint")
+    for n, (made, want, columns) in enumerate((
+        (stateful.rate_stream(_files(spark, tmp_path / "s0", batches), ["src"], "amount", 20), windows.with_rates(plain, ["src"], {"total": F.col("amount")}, 20), ["seq", "total", "big"]),
+        (stateful.distinct_stream(_files(spark, tmp_path / "s1", batches), ["src"], "amount", 20), windows.distinct_by_intervals(plain, ["src"], "amount", 20), ["seq", "n_distinct", "big"]),
+        (stateful.sessions_stream(_files(spark, tmp_path / "s2", batches), ["src"], 9), windows.idle_sessions(plain, ["src"], 9).withColumn("session_start", F.min("ts_sec").over(Window.partitionBy("src", "session"))), ["seq", "session_start", "big"]),
+    )):
+        got = stateful.run_once(made, f"sliding{n}", f"file://{tmp_path}/check{n}").select(*columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_held_rows_are_taken_in_order_and_state_goes(spark, tmp_path):
+    batches = [[(10, 1, "a", 1, None), (30, 2, "a", 1, None)], [(25, 3, "a", 1, None), (29, 4, "b", 1, None)], [(100, 5, "a", 1, None)], [(200, 6, "z", 1, None)], [(400, 7, "z", 1, None)]]
+    stream = _files(spark, tmp_path / "rows", batches).withWatermark("ts", "20 seconds")
+    got = stateful.run_once(stateful.gate_stream(stream, ["src"], 10, event="ts", hold=True), "held", f"file://{tmp_path}/check")
+    # row 3 comes after row 2 and is still taken before it, so row 2 does not pass; the last row is still waiting
+    assert sorted(r["seq"] for r in got.collect()) == [1, 3, 4, 5, 6]
+    state = spark.read.format("statestore").load(f"file://{tmp_path}/check")
+    assert state.count() <= 1
+    with pytest.raises(ValueError, match="watermark"):
+        stateful.gate_stream(stream, ["src"], 10, hold=True)
