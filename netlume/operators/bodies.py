@@ -62,7 +62,7 @@ class Tap:
         for h in self.hashes or ():
             h.update(data)
         self.size += len(data)
-        self.start = (self.start + data)[:16] if len(self.start) < 16 else self.start
+        self.start = (self.start + data)[: text.HEAD] if len(self.start) < text.HEAD else self.start
 
     def _chunks(self) -> bool:
         """Whether the last chunk is read; a malformed body ends the message without a file."""
@@ -90,8 +90,8 @@ class Tap:
     def _file(self) -> dict[str, object] | None:
         if not 0 < self.size <= MOST or self.hashes is None:
             return None
-        kind = text.file_identity(self.start)["type"]
-        return {"size": self.size, "md5": self.hashes[0].hexdigest(), "sha256": self.hashes[1].hexdigest(), "type": kind}
+        found = text.file_identity(self.start)
+        return {"size": self.size, "md5": self.hashes[0].hexdigest(), "sha256": self.hashes[1].hexdigest(), "type": found["type"], "description": found["description"]}
 
     def end(self) -> Iterator[dict[str, object]]:
         """A body that lasts until the connection ends."""
@@ -100,9 +100,9 @@ class Tap:
 
 
 def files(segments: DataFrame, keys: list[str], seq: str = "seq", payload: str = "payload") -> DataFrame:
-    """keys, size, md5, sha256 and type of each whole body, from a direction's bytes in order; a body that stays unfinished gives none."""
+    """keys, size, md5, sha256, type and description of each whole body, from a direction's bytes in order; a body that stays unfinished gives none."""
     kinds, n = dict(segments.dtypes), len(keys)
-    names = ["size", "md5", "sha256", "type"]
+    names = ["size", "md5", "sha256", "type", "description"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tap, key = None, None, None
@@ -130,5 +130,5 @@ def files(segments: DataFrame, keys: list[str], seq: str = "seq", payload: str =
         made = [pa.array([f[c] for f in found], pa.int64() if c == "size" else pa.string()) for c in names]
         return pa.RecordBatch.from_arrays([*(pa.concat_arrays([x[c] for x in keyed]) for c in range(n)), *made], [*keys, *names])
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", size bigint, md5 string, sha256 string, type string"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", size bigint, md5 string, sha256 string, type string, description string"
     return segments.repartition(*keys).sortWithinPartitions(*keys, seq).select(*keys, F.col(payload).cast("binary")).mapInArrow(run, schema)

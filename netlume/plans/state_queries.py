@@ -314,11 +314,12 @@ def f38_port_gates(spark, sf_dir):
     return rule_buffers(got, ["dns.query"], ["k"]).select("k", "buffer")
 
 
-@query("SELECT page_id, md5(html) AS md5, octet_length(encode(html)) AS size, CASE WHEN starts_with(html, '<!DOCTYPE html') THEN 'html' END AS type FROM pages")
+@query("SELECT page_id, md5(html) AS md5, octet_length(encode(html)) AS size, CAST(NULL AS VARCHAR) AS type FROM pages UNION ALL SELECT -1 - c_custkey, md5('%PDF-' || c_custkey), octet_length(encode('%PDF-' || c_custkey)), 'pdf' FROM customer")
 def p28_file_of_pages(spark, sf_dir):
     from netlume.parse.registry import parsed
 
-    got = table(spark, sf_dir, "pages").select("page_id", parsed("file_identity", F.col("html").cast("binary")).alias("p"))
+    pdf = table(spark, sf_dir, "customer").select((-1 - F.col("c_custkey")).alias("page_id"), F.concat(F.lit("%PDF-"), F.col("c_custkey").cast("string")).alias("html"))
+    got = table(spark, sf_dir, "pages").select("page_id", "html").unionByName(pdf).select("page_id", parsed("file_identity", F.col("html").cast("binary")).alias("p"))
     return got.select("page_id", "p.md5", "p.size", "p.type")
 
 
@@ -328,3 +329,38 @@ def p31_stream_lines(spark, sf_dir):
 
     got = message_lines(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("stream")), ["doc_id"])
     return got.select("doc_id", "n", F.col("line").cast("string").alias("line"))
+
+
+@query(f"""WITH {ROWS} SELECT k, b.buffer, b.data FROM c, LATERAL (SELECT unnest([{{'buffer': 'http.accept', 'data': '*/*'}}, {{'buffer': 'http.protocol', 'data': 'HTTP/1.1'}}, {{'buffer': 'http.referer', 'data': 'r' || k}}, {{'buffer': 'http.start', 'data': 'POST /' || n || '?q=' || k || ' HTTP/1.1' || chr(13) || chr(10) ||
+    'Host: ' || n || '.example.org:8080' || chr(13) || chr(10) || 'User-Agent: agent/' || k || chr(13) || chr(10) || 'host: other' || chr(13) || chr(10) || 'Accept:  */* ' || chr(13) || chr(10) || 'Referer: r' || k || chr(13) || chr(10) || 'Transfer-Encoding: chunked' || chr(13) || chr(10) || chr(13) || chr(10)}}]) AS b)
+    UNION ALL SELECT k, 'file.md5', md5(repeat(n, CAST(k % 3 AS INT))) FROM c WHERE k % 3 > 0""")
+def c5_buffers_of_requests(spark, sf_dir):
+    """Several buffers of one message, each parser run once."""
+    from netlume.parse.registry import rule_buffers
+
+    got = built(spark, sf_dir, messages.http_request).select("k", F.lit("to_server").alias("direction"), F.col("m").alias("stream"))
+    found = rule_buffers(got, ["http.accept", "http.protocol", "http.referer", "http.start", "http.response_line", "file.md5", "tls.sni"], ["k"])
+    return found.select("k", "buffer", F.col("data").cast("string").alias("data"))
+
+
+@query(f"""WITH {ROWS} SELECT k, 'smtp.sender' AS buffer, n || '@a.org' AS data FROM c WHERE k % 3 = 1 UNION ALL SELECT k, 'smtp.recipient', 'k' || k || '@b.org' FROM c WHERE k % 3 = 1 UNION ALL SELECT k, 'ftp.command', x FROM c, LATERAL (SELECT unnest(['user ' || n, 'PASS x', 'RETR ' || k]) AS x) WHERE k % 3 = 0
+    UNION ALL SELECT k, 'ftp.command', 'AUTH LOGIN' FROM c WHERE k % 3 = 1 UNION ALL SELECT k, 'ssh.version', 'SSH-2.0-' || n FROM c WHERE k % 3 = 2""")
+def c5_buffers_of_lines(spark, sf_dir):
+    from netlume.parse.registry import rule_buffers
+
+    got = built(spark, sf_dir, messages.lines).select("k", F.lit("to_server").alias("direction"), F.col("m").alias("stream"))
+    return rule_buffers(got, ["ftp.command", "smtp.sender", "smtp.recipient", "ssh.version"], ["k"]).select("k", "buffer", F.col("data").cast("string").alias("data"))
+
+
+@query(f"WITH {ROWS} SELECT k AS flow, CAST(CASE k % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS BIGINT) AS sid FROM c UNION ALL SELECT k, 1 FROM c WHERE k % 3 = 1")
+def s18_imported_rules_by_protocol(spark, sf_dir):
+    """Foreign rules of a protocol with raw content hold only on flows that speak it."""
+    from netlume.parse.registry import parsed
+    from netlume.rules.importer import translate_all
+
+    text = "\n".join(f'alert {p} any any -> any any (msg:"{p}"; content:"customer"; nocase; classtype:trojan-activity; sid:{n};)' for n, p in ((1, "ftp"), (2, "smtp"), (3, "ssh")))
+    lines, left = translate_all(text)
+    rules, _ = parse_rules("\n".join(lines))
+    assert not left
+    got = built(spark, sf_dir, messages.lines).select(F.col("k").alias("flow"), F.col("k").alias("ts_sec"), F.col("k").alias("seq"), F.lit("payload").alias("buffer"), F.lit("to_server").alias("direction"), F.col("m").alias("data"), F.lit("tcp").alias("proto"), parsed("app_marks", F.col("m")).alias("marks"))
+    return state.alerts(got, rules, ["flow"]).select("flow", "sid")

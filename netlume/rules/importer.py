@@ -13,16 +13,24 @@ from .parser import RuleError, parse_new, split_options
 # Names of sticky buffers there and here, and options that have no effect on what matches.
 BUFFERS = {
     "http.uri": "http.uri", "http_uri": "http.uri", "http.method": "http.method", "http.host": "http.host", "http.user_agent": "http.user_agent", "http.cookie": "http.cookie", "http.header": "http.header", "http.header_names": "http.header_names", "http.request_body": "http.request_body",
-    "http.request_line": "http.request_line", "http.stat_code": "http.stat_code", "http.stat_msg": "http.stat_msg", "http.server": "http.server", "http.location": "http.location", "http.response_body": "http.response_body", "file.data": "http.response_body", "file_data": "http.response_body", "dns.query": "dns.query", "dns_query": "dns.query",
-    "tls.sni": "tls.sni", "tls_sni": "tls.sni", "ja3.hash": "tls.ja3", "ja3s.hash": "ja3s.hash", "tls.version": "tls.version", "ssh.proto": "ssh.version", "ssh.software": "ssh.version", "snmp.community": "snmp.community", "krb5_cname": "krb5.client", "krb5_sname": "krb5.service", "pkt_data": "payload",
+    "http.request_line": "http.request_line", "http.stat_code": "http.stat_code", "http.stat_msg": "http.stat_msg", "http.server": "http.server", "http.location": "http.location", "http.response_body": "http.response_body", "file.data": "file.data", "file_data": "file.data", "dns.query": "dns.query", "dns_query": "dns.query",
+    "tls.sni": "tls.sni", "tls_sni": "tls.sni", "ja3.hash": "tls.ja3", "ja3s.hash": "tls.ja3s", "tls.version": "tls.version", "ssh.proto": "ssh.version", "ssh.software": "ssh.version", "snmp.community": "snmp.community", "krb5_cname": "krb5.principal", "krb5_sname": "krb5.service", "pkt_data": "payload",
+    "http.accept": "http.accept", "http.accept_enc": "http.accept_enc", "http.accept_lang": "http.accept_lang", "http.connection": "http.connection", "http.content_len": "http.content_len", "http.content_type": "http.content_type", "http.protocol": "http.protocol", "http.referer": "http.referer", "http.start": "http.start",
+    "http.response_line": "http.response_line", "filemagic": "file.magic", "filemd5": "file.md5", "filesha256": "file.sha256", "tls.cert_subject": "tls.cert_subject", "tls.cert_issuer": "tls.cert_issuer", "tls.cert_serial": "tls.cert_serial", "tls.certs": "tls.certs", "smb.share": "smb.share", "smb.named_pipe": "smb.share",
 }
 MODIFIERS = {"http_uri": "http.uri", "http_method": "http.method", "http_host": "http.host", "http_user_agent": "http.user_agent", "http_cookie": "http.cookie", "http_header": "http.header", "http_client_body": "http.request_body", "http_stat_code": "http.stat_code"}
 IGNORED = frozenset("rev reference metadata classtype priority gid fast_pattern prefilter rawbytes target app-layer-protocol requires".split())
 TRANSFORMS = {"url_decode": "percent_decode", "to_sha1": "sha1", "to_md5": "md5", "to_sha256": "sha256", "strip_whitespace": "strip_whitespace", "compress_whitespace": "compress_whitespace", "header_lowercase": "header_lowercase"}
 PROTOCOLS = {"tcp": "tcp", "udp": "udp", "icmp": "icmp", "http": "tcp", "tls": "tcp", "ssh": "tcp", "ftp": "tcp", "smtp": "tcp", "smb": "tcp", "dns": None, "ip": None, "tcp-pkt": "tcp", "tcp-stream": "tcp", "http1": "tcp", "krb5": None, "snmp": "udp", "tftp": "udp"}
 SEVERITIES = {"1": "high", "2": "medium", "3": "low", "4": "low"}
-MAJOR = frozenset("trojan-activity command-and-control exploit-kit attempted-admin successful-admin shellcode-detect web-application-attack credential-theft domain-c2 targeted-activity".split())
-MINOR = frozenset("policy-violation not-suspicious misc-activity protocol-command-decode bad-unknown".split())
+# Grades of rule metadata, and classes of rules, by severity; the rest is medium.
+GRADES = {"major": "high", "critical": "high", "minor": "medium", "informational": "low", "audit": "low"}
+MAJOR = frozenset(
+    "trojan-activity attempted-admin attempted-user successful-admin successful-user shellcode-detect web-application-attack command-and-control targeted-activity exploit-kit domain-c2 credential-theft malware-cnc".split()
+)
+#: Protocols that mark their flows, and those whose server port stands for them as datagrams have no flow.
+MARKED = {"http": "app.http", "http1": "app.http", "tls": "app.tls", "ssh": "app.ssh", "ftp": "app.ftp", "smtp": "app.smtp", "smb": "app.smb", "rdp": "app.rdp"}
+PORTED = {"dns": "53", "tftp": "69", "snmp": "161,162", "krb5": "88"}
 SHAPE = re.compile(r"^\s*(alert|drop|reject|pass)\s+(\S+)\s+(\[.*?\]|\S+)\s+(\[.*?\]|\S+)\s+(->|<>)\s+(\[.*?\]|\S+)\s+(\[.*?\]|\S+)\s*\((.*)\)\s*$")
 
 
@@ -84,11 +92,38 @@ def pcre(value: str) -> tuple[str, bool, bool, str | None]:
 
 
 def severity(options: list[tuple[str, str]]) -> str:
+    """By the grade in the metadata, a priority, or the class."""
+    grades = [g for name, value in options if name == "metadata" for g in re.findall(r"signature_severity\s+(\w+)", value.lower())]
+    if grades and grades[0] in GRADES:
+        return GRADES[grades[0]]
     given = dict(options)
     if given.get("priority") in SEVERITIES:
         return SEVERITIES[given["priority"]]
-    kind = given.get("classtype", "")
-    return "high" if kind in MAJOR else "low" if kind in MINOR else "medium"
+    return "high" if given.get("classtype", "").strip().lower() in MAJOR else "medium"
+
+
+def scoped(protocol: str, direction: str, body: list[str], ends: tuple[str | None, str | None]) -> list[dict[str, str]]:
+    """What a rule of an application protocol needs beside its terms: a mark of its flow, or its port on an end that names none.
+
+    A structured buffer already tells the protocol; raw payload alone would match flows of any.
+    """
+    if any(x.startswith("buffer:") and x != "buffer:payload" for x in body):
+        return [{}]
+    if protocol in MARKED:
+        return [{"flowbits": f"isset,{MARKED[protocol]}"}]
+    if protocol not in PORTED or (protocol != "dns" and any(ends)):
+        return [{}]
+    ports = PORTED[protocol]
+    named = {p for e in ends if e for p in re.split(r"[,\-!]", e)}
+    if named & set(ports.split(",")):
+        return [{}]
+    if direction == "any":
+        if any(ends):
+            raise Unsupported("an application protocol on other ports")
+        return [{"dst_port": ports}, {"src_port": ports}]
+    if ends[1]:
+        raise Unsupported("an application protocol on another port")
+    return [{"dst_port": ports}]
 
 
 def _body(options: list[tuple[str, str]]) -> list[str]:
@@ -177,9 +212,10 @@ def translate(line: str, home: list[str] | None = None) -> tuple[list[str], str
             for key, value in (("src_ip", address(client[0], home or [])), ("src_port", port(client[1])), ("dst_ip", address(server[0], home or [])), ("dst_port", port(server[1]))):
                 head += [f"{key}:{value}"] if value else []
             head += [f"direction:{direction}"] if direction != "any" else []
-            rule = "rule " + " ".join(f"{x};" for x in [*head, *body])
-            parse_new(rule)
-            made.append(rule)
+            for more in scoped(protocol, direction, body, (port(client[1]), port(server[1]))):
+                rule = "rule " + " ".join(f"{x};" for x in [*head, *body, *(f"{k}:{v}" for k, v in more.items())])
+                parse_new(rule)
+                made.append(rule)
         return made, None
     except (Unsupported, RuleError, ValueError, IndexError, KeyError) as e:
         return [], str(e)

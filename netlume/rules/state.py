@@ -27,12 +27,18 @@ def rule_hits(buffers: DataFrame, rules: list[Rule], flow: list[str], sec: str =
     Each buffer row is one pass: all its rules read the flow's bits as they were before it, then change them.  Conditions
     gate every part of a composite, its changes wait until it is complete, and it is complete once.  Rows whose column
     `stateful` is false (datagrams) have no bits: nothing is set there, and composites never complete.  With `once` a
-    rule fires once for a flow and direction.
+    rule fires once for a flow and direction.  Where buffers have `marks` (names of protocols, as parse.auth.marks gives
+    them), those bits are set before their pass.
     """
     told = [c for c in ("src", "dst") if c in buffers.columns]
     rows = buffers if "stateful" in buffers.columns else buffers.withColumn("stateful", F.lit(True))
     rows = rows.withColumn("side", F.col("direction")).withColumn("read", F.col("buffer"))
     hits = match(rows.select(*flow, sec, seq, "buffer", "direction", "data", "side", "read", "stateful", *[c for c in HEADER if c in rows.columns]), rules, [*flow, sec, seq, *told, "side", "read", "stateful"], packets)
+    if "marks" in buffers.columns:
+        marked = rows.filter(F.size("marks") > 0).select(*flow, sec, seq, *told, "side", "read", "stateful", *[F.lit(None).cast(k).alias(c) for c, k in (("sid", "bigint"), ("name", "string"), ("severity", "string"), ("part", "int"), ("parts", "int"))], "marks")
+        hits = hits.withColumn("marks", F.lit(None).cast("array<string>")).unionByName(marked)
+    else:
+        hits = hits.withColumn("marks", F.lit(None).cast("array<string>"))
     shared = buffers.sparkSession.sparkContext.broadcast({(r.sid, r.name): r for r in rules})
 
     def fold():
@@ -47,7 +53,7 @@ def rule_hits(buffers: DataFrame, rules: list[Rule], flow: list[str], sec: str =
             nonlocal entry, at
             fires = np.zeros(len(fresh), bool)
             new = fresh.tolist()
-            for k, (*row, sid, name, part, side, stateful) in enumerate(zip(*(c.to_pylist() for c in order), strict=True)):
+            for k, (*row, sid, name, part, side, stateful, marks) in enumerate(zip(*(c.to_pylist() for c in order), strict=True)):
                 if new[k]:
                     bits.clear()
                     parts.clear()
@@ -55,6 +61,10 @@ def rule_hits(buffers: DataFrame, rules: list[Rule], flow: list[str], sec: str =
                     at = None
                 if row != at:
                     at, entry = row, frozenset(bits)
+                if sid is None:  # comes first in its pass
+                    bits.update(marks)
+                    entry = frozenset(bits)
+                    continue
                 rule = held[sid, name]
                 seen = entry if stateful else frozenset()
                 if not all((bit in seen) == (verb == "isset") for verb, bit in rule.flowbits if verb in CONDITIONS):
@@ -82,7 +92,7 @@ def rule_hits(buffers: DataFrame, rules: list[Rule], flow: list[str], sec: str =
 
         return step
 
-    folded = windows.fold_in_order(hits, flow, [sec, seq, "read", "sid", "name", "part", "side", "stateful"], "_fires boolean", fold)
+    folded = windows.fold_in_order(hits, flow, [sec, seq, "read", "sid", "name", "part", "side", "stateful", "marks"], "_fires boolean", fold)
     return folded.filter("_fires").select(*flow, sec, seq, *told, F.col("side").alias("direction"), "sid", "name", "severity")
 
 

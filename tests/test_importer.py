@@ -47,3 +47,20 @@ def test_refused(line):
 def test_files():
     rules, left = translate_all(f"# c\n{HTTP}\nbad\n")
     assert len(rules) == 1 and left == [(3, "not a rule")]
+
+
+def test_severity_of_metadata_and_classes():
+    rule = lambda more: parse_rules(translate(f'alert tcp any any -> any any (content:"a"; {more} sid:1;)')[0][0])[0][0].severity
+    assert [rule(x) for x in ("metadata:created_at 2020, signature_severity Major;", "metadata:signature_severity Informational; classtype:trojan-activity;", "classtype:trojan-activity;", "priority:3;", "")] == ["high", "low", "high", "low", "medium"]
+
+
+def test_application_protocols_scope_raw_content():
+    (made,), _ = translate('alert http any any -> any any (flow:to_server; content:"a"; sid:1;)')
+    assert "flowbits:isset,app.http" in made
+    (made,), _ = translate('alert http any any -> any any (flow:to_server; http.uri; content:"a"; sid:1;)')
+    assert "app.http" not in made
+    (made,), _ = translate('alert snmp any any -> any any (flow:to_server; content:"a"; sid:1;)')
+    assert "dst_port:161,162" in made
+    made, _ = translate('alert dns any any -> any any (content:"a"; sid:1;)')
+    assert len(made) == 2 and "dst_port:53" in made[0] and "src_port:53" in made[1]
+    assert translate('alert dns any any -> any 99 (flow:to_server; content:"a"; sid:1;)')[1]
