@@ -300,7 +300,7 @@ def follow_pcap(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
 
     At most `files` captures make a micro-batch, so a burst waits in the folder and nothing is shed.
     """
-    found = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.pcap").load(path)
+    found = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("maxFilesPerTrigger", files).option("pathGlobFilter", "*.pcap").load(path)
     return frames_in(found)
 
 
