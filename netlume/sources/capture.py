@@ -220,19 +220,23 @@ def decode(link: int, raw: bytes) -> Packet | None:
     return transport(p)
 
 
-def decode_frames(frames: DataFrame) -> DataFrame:
-    """Packets of frames (ts_us, link_type, frame_len, raw); frames that cannot be decoded give none."""
+def decode_frames(frames: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Packets of frames (ts_us, link_type, frame_len, raw), and their columns in `keep`; frames that cannot be decoded give none."""
+    kinds, names = dict(frames.dtypes), [x.split()[0] for x in PACKETS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for ts, link, size, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            at, rows = [], []
+            for k, (ts, link, size, raw) in enumerate(zip(*(c.to_pylist() for c in b.columns[:4]), strict=True)):
                 if (p := decode(link, raw or b"")) is not None:
+                    at.append(k)
                     rows.append((ts, p.src, p.dst, p.ip_version, p.protocol, p.src_port, p.dst_port, p.tcp_flags, p.tcp_seq, p.tcp_window, p.icmp_type, p.icmp_code, p.payload, size, p.vlan_id, p.is_fragment, p.ip_id, p.frag_offset, p.more_fragments, p.tunnels))
             if rows:
-                yield _batch(rows, PACKETS)
+                place = pa.array(at, pa.int64())
+                yield pa.RecordBatch.from_arrays([*_batch(rows, PACKETS).columns, *(b.column(4 + k).take(place) for k in range(len(keep)))], [*names, *keep])
 
-    return frames.select("ts_us", "link_type", "frame_len", "raw").mapInArrow(run, PACKETS)
+    schema = ", ".join([PACKETS, *(f"`{c}` {kinds[c]}" for c in keep)])
+    return frames.select("ts_us", "link_type", "frame_len", "raw", *keep).mapInArrow(run, schema)
 
 
 def defragment(pieces: list[tuple[int, bool, bytes]], last_wins: bool = False) -> bytes | None:
