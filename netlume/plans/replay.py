@@ -42,8 +42,8 @@ class Settings:
 
 def packets(frames: DataFrame, filter_: str = "") -> DataFrame:
     """Decoded packets in a total order (ts_sec, seq), fragments put together, those that the filter leaves."""
-    raw = capture.decode_frames(frames, ["frame_no"])
-    found = raw.filter("NOT is_fragment").filter(packet_filter(filter_))
+    whole = capture.whole_packets(capture.decode_frames(frames, ["frame_no"]), ["frame_no"])
+    found = whole.filter(packet_filter(filter_))
     return found.withColumn("ts_sec", F.floor(F.col("ts_us") / 1_000_000).cast("bigint")).withColumn("seq", F.col("ts_us") * 4096 + F.col("frame_no") % 4096)
 
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from netlume.operators.windows import _changes
+
 FRAMES = "path string, frame_no bigint, ts_us bigint, link_type int, frame_len int, raw binary"
 PACKETS = (
     "ts_us bigint, src string, dst string, ip_version int, protocol int, src_port int, dst_port int, tcp_flags int, tcp_seq bigint, tcp_window int, "
@@ -253,33 +255,82 @@ def defragment(pieces: list[tuple[int, bool, bytes]], last_wins: bool = False) -
     return bytes(out) if all(known) else None
 
 
-def datagrams(pieces: list[tuple[int, int, bool, bytes]], last_wins: bool = False, timeout_us: int = 30_000_000) -> list[bytes]:
-    """Datagrams of one key from (microseconds, offset, more to come, bytes) in order of arrival.
+class Rebuilding:
+    """The pieces of one key's datagrams as they come.
 
     A new one begins after one that is complete, and when the first piece is older than the timeout.
     """
-    out, held, begun, end, size = [], [], 0, None, 0
-    for ts, at, more, b in pieces:
-        if at + len(b) > 65_535:
-            continue
-        if not held or ts - begun > timeout_us:
-            held, begun, end, size = [], ts, None, 0
-        held.append((at, more, b))
-        size += len(b)
-        if not more and end is None:
-            end = at + len(b)
-        if end is not None and size >= end and (body := defragment(held, last_wins)) is not None:
-            out.append(body)
-            held = []
-    return out
-
-
-def defragmented(packets: DataFrame, last_wins: bool = False, timeout_us: int = 30_000_000) -> DataFrame:
-    """src, dst, protocol, ip_id and body of each datagram whose pieces came within the timeout of its first one."""
-    rebuilt = F.udf(lambda rows: datagrams([(r["ts_us"], r["frag_offset"], r["more_fragments"], bytes(r["payload"])) for r in rows], last_wins, timeout_us), "array<binary>")
-    piece = F.struct("ts_us", "frag_offset", "more_fragments", "payload")
-    groups = packets.filter("is_fragment").groupBy("src", "dst", "protocol", "ip_id").agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
-    return groups.select("src", "dst", "protocol", "ip_id", F.explode(rebuilt("pieces")).alias("body"))
+
+    #: Pieces of one datagram at most; a further one begins anew.
+    MOST = 128
+
+    def __init__(self, last_wins: bool, timeout_us: int):
+        self.last_wins, self.timeout_us = last_wins, timeout_us
+        self.held: list[tuple[int, bool, bytes]] = []
+        self.begun, self.end, self.size = 0, None, 0
+
+    def take(self, ts: int, at: int, more: bool, data: bytes) -> bytes | None:
+        """The datagram that a piece completes."""
+        if at + len(data) > 65_535:
+            return None
+        if not self.held or ts - self.begun > self.timeout_us or len(self.held) >= self.MOST:
+            self.held, self.begun, self.end, self.size = [], ts, None, 0
+        self.held.append((at, more, data))
+        self.size += len(data)
+        if not more and self.end is None:
+            self.end = at + len(data)
+        if self.end is not None and self.size >= self.end and (body := defragment(self.held, self.last_wins)) is not None:
+            self.held = []
+            return body
+        return None
+
+
+def defragmented(packets: DataFrame, last_wins: bool = False, timeout_us: int = 30_000_000, keep: list[str] = ()) -> DataFrame:
+    """src, dst, protocol, ip_id, ts_us and body of each datagram whose pieces came within the timeout of its first one.
+
+    ts_us and the columns in `keep` are those of the piece that completes it.  Pieces stream by key in order of time; at
+    most those of one datagram are held.
+    """
+    keys, kinds = ["src", "dst", "protocol", "ip_id"], dict(packets.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fresh, last = _changes([b.column(k) for k in range(4)], last)
+            at, bodies = [], []
+            for k, (new, *piece) in enumerate(zip(fresh.tolist(), *(b.column(4 + n).to_pylist() for n in range(4)), strict=True)):
+                if new:
+                    state = Rebuilding(last_wins, timeout_us)
+                if (body := state.take(piece[0], piece[1], piece[2], piece[3] or b"")) is not None:
+                    at.append(k)
+                    bodies.append(body)
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(place) for k in (0, 1, 2, 3, 4)), pa.array(bodies, pa.binary()), *(b.column(8 + k).take(place) for k in range(len(keep)))], [*keys, "ts_us", "body", *keep])
+
+    rows = packets.filter("is_fragment").select(*keys, "ts_us", "frag_offset", "more_fragments", "payload", *keep)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, "ts_us"]) + ", body binary" + "".join(f", `{c}` {kinds[c]}" for c in keep)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "ts_us", "frag_offset").mapInArrow(run, schema)
+
+
+def whole_packets(packets: DataFrame, keep: list[str] = (), last_wins: bool = False) -> DataFrame:
+    """All packets, with rebuilt datagrams in the place of their fragments; the columns of decode_frames() and `keep`."""
+    names = [x.split()[0] for x in PACKETS.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for src, dst, protocol, ip_id, ts, body in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
+                p = transport(Packet(src, dst, 6 if ":" in src else 4, protocol, ip_id=ip_id, body=body))
+                rows.append((ts, p.src, p.dst, p.ip_version, p.protocol, p.src_port, p.dst_port, p.tcp_flags, p.tcp_seq, p.tcp_window, p.icmp_type, p.icmp_code, p.payload, len(body), None, False, ip_id, 0, False, 0))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*_batch(rows, PACKETS).columns, *b.columns[6:]], [*names, *keep])
+
+    kinds = dict(packets.dtypes)
+    schema = ", ".join([PACKETS, *(f"`{c}` {kinds[c]}" for c in keep)])
+    rebuilt = defragmented(packets, last_wins, keep=keep).mapInArrow(run, schema)
+    return packets.filter("NOT is_fragment").select(*names, *keep).unionByName(rebuilt)
 
 
 def write_pcap_bytes(frames: list[tuple[int, bytes]], link: int = ETHERNET) -> bytes:

@@ -113,6 +113,15 @@ def test_signatures_feeds_and_records(spark):
     assert states == {1234: ("closed", 4, 3), 1235: ("timeout", 2, 1)}
 
 
+def test_fragments_are_read_as_one(spark):
+    w = Wire()
+    body = m.udp(5000, 9999, b"a marker in two pieces")
+    w.put(m.ipv4(A, V, 17, body[16:], part=2, ident=7))
+    w.put(m.ipv4(A, V, 17, body[:16], part=0x2000, ident=7))
+    rules, _ = parse_rules('rule sid:1; content:"marker in two"; proto:udp; dst_port:9999;')
+    assert [g[0] for g in run(spark, w, rules=rules)[0]] == ["SIGNATURE_MATCH"]
+
+
 def test_filter_empty_captures_and_command_line(spark, tmp_path, capsys):
     w = Wire()
     scan(w)
