@@ -15,7 +15,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = f"{tempfile.gettempdir()}/checkpoints"
     return f"{top.rstrip('/')}/netlume-{spark.sparkContext.applicationId}"
