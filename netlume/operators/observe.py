@@ -13,13 +13,16 @@ def union(*producers: DataFrame) -> DataFrame:
 
 
 def placed(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """Adds each row's number, from 1, in a total order.
+    """Adds each row's number, from 1, in a total order that begins with a number (a second).
 
-    Rows are dealt by ranges of the order and numbered there; only each range's count is gathered, so no task and no
-    window holds all rows.
+    Rows are dealt by ranges of that number, whose bounds are settled first, and numbered within; only each range's count
+    is gathered, so no task and no window holds all rows.
     """
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id())
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    # one row a partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return ranged.join(starts, "_part").withColumn(name, (F.col("_start") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("bigint")).drop("_part", "_id", "_start")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(rows.approxQuantile(order[0], [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
+    dealt = rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order[0]))) if bounds else F.lit(0))
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    # one row a range
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("_number", number).join(starts, "_range").withColumn(name, (F.col("_start") + F.col("_number")).cast("bigint")).drop("_range", "_number", "_start")
