@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -20,7 +22,12 @@ def placed(rows: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted(set(rows.approxQuantile(order[0], [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    dealt = rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col(order[0]))) if bounds else F.lit(0))
+
+    def range_of(column: pa.Array) -> pa.Array:
+        values = column.cast(pa.float64(), safe=False).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        return pa.array(np.searchsorted(bounds, values, "right").astype(np.int32))
+
+    dealt = rows.withColumn("_range", F.arrow_udf(range_of, "int")(F.col(order[0])))
     counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     # one row a range
     starts = counts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
