@@ -364,3 +364,36 @@ def s18_imported_rules_by_protocol(spark, sf_dir):
     assert not left
     got = built(spark, sf_dir, messages.lines).select(F.col("k").alias("flow"), F.col("k").alias("ts_sec"), F.col("k").alias("seq"), F.lit("payload").alias("buffer"), F.lit("to_server").alias("direction"), F.col("m").alias("data"), F.lit("tcp").alias("proto"), parsed("app_marks", F.col("m")).alias("marks"))
     return state.alerts(got, rules, ["flow"]).select("flow", "sid")
+
+
+@query(f"WITH {ROWS} SELECT {ADDRESS} AS src, CAST(CASE WHEN k % 12 IN (1, 5) THEN 2 ELSE 1 END AS BIGINT) AS sid FROM c WHERE k % 12 NOT IN (6, 10, 11)")
+def u1_replay(spark, sf_dir):
+    """Frames of many kinds, tunnels among them, from end to end."""
+    from .protocol_queries import frames
+    from .replay import Settings, replay_frames
+
+    rules, _ = parse_rules('rule sid:1; proto:tcp; content:"customer";\nrule sid:2; proto:udp; dst_port:53; content:"customer";')
+    found, _ = replay_frames(frames(spark, sf_dir), Settings(rules=rules))
+    return found.filter("category = 'SIGNATURE_MATCH'").select("src", "sid")
+
+
+@query(f"WITH {OBS} SELECT seq, CAST(row_number() OVER (ORDER BY ts_sec, dst_port, src, dst, seq) AS BIGINT) AS place FROM obs")
+def x3_alert_order(spark, sf_dir):
+    alerts = observations(spark, sf_dir).select("seq", "ts_sec", F.col("dst_port").alias("sid"), "src", "dst")
+    return observe.placed(alerts, ["ts_sec", "sid", "src", "dst", "seq"], "place").select("seq", "place")
+
+
+@query("SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '^\\.+', '_') AS named FROM pages")
+def s_strings(spark, sf_dir):
+    from netlume.functions import scalars
+
+    return table(spark, sf_dir, "pages").select("page_id", scalars.ascii_lower(F.col("url")).alias("lowered"), scalars.file_name(F.col("url")).alias("named"))
+
+
+@query(f"WITH {ROWS} SELECT k, k * 65537 % 4294967296 AS big, ((k * 65537) % 256) * 16777216 + ((k * 65537) // 256 % 256) * 65536 + ((k * 65537) // 65536 % 256) * 256 + (k * 65537) // 16777216 % 256 AS little FROM c")
+def s_numbers(spark, sf_dir):
+    """Numbers read in either order of bytes."""
+    from netlume.functions import scalars
+
+    data = F.unhex(F.lpad(F.hex(F.col("k") * 65537 % 4294967296), 8, "0"))
+    return rows(spark, sf_dir).select("k", scalars.read_uint(data, 0, 4).alias("big"), scalars.read_uint(data, 0, 4, little=True).alias("little"))
