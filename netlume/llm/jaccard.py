@@ -43,6 +43,8 @@ COUNTED = 64
 KIDS = 8
 #: The sketch has 2^BITS counts, dealt in PIECES; it is the only thing that goes to the driver, and from there to all tasks as a byte for each count.
 BITS, PIECES = 21, 64
+#: First n-grams that a task gathers to a batch.
+HELD = 1 << 19
 #: A shuffled n-gram keeps its upper 48 bits; 15 bits hold its set's size, 512 steps for each doubling, and one its place.
 STEPS = 512
 _U = np.uint64
@@ -370,7 +372,8 @@ def sketch_levels(members: DataFrame) -> np.ndarray:
         whole = [np.minimum(x, (1 << 32) - 1).astype("<u4").tobytes() for x in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(whole, pa.binary())], ["piece", "counts"])
 
-    parts = members.filter("piece IS NOT NULL").select("piece", "counts").repartition(PIECES, "piece")
+    tasks = min(PIECES, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = members.filter("piece IS NOT NULL").select("piece", "counts").repartition(tasks, "piece")
     found = {r["piece"]: r["counts"] for r in parts.mapInArrow(run, "piece int, counts binary").collect()}
     one = np.zeros((1 << BITS) // PIECES, "<u4").tobytes()
     return levels_of(np.frombuffer(b"".join(found.get(k, one) for k in range(PIECES)), "<u4").astype(np.float64))
@@ -381,16 +384,24 @@ def candidates(docs: DataFrame, levels: np.ndarray, size: int, num: int, den: in
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(levels)
 
+    def shuffled(grams: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["packed", "node"])
+
     def first_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prefixes, seen = Prefixes(shared.value, num, den), set()
         for b in batches:
-            grams, nodes = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+            grams, nodes, held = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
             for s in sets_of(b.column(0), size):
                 if len(s) and (node := class_of(s)) not in seen:
                     seen.add(node)
                     grams.append(prefixes.packed(s))
                     nodes.append(np.full(len(grams[-1]), node))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), pa.array(np.concatenate(nodes))], ["packed", "node"])
+                    held += len(grams[-1])
+                if held > HELD:
+                    yield shuffled(grams, nodes)
+                    grams, nodes, held = [], [], 0
+            if grams:
+                yield shuffled(grams, nodes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the group that a batch breaks off only the centre is carried on, or all until one of it meets larger partners."""
