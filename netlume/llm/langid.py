@@ -28,7 +28,7 @@ GRAMS, BUCKETS = (2, 3), 1 << 12
 SAMPLE_ROWS = 3_200
 CENTROIDS = 4
 #: A text is rejected below this share of the lowest cosines (one in 200) of its length in the sample.
-REJECT = 0.6
+REJECT = 0.5
 ROWS_AT_ONCE = 256
 UNKNOWN = "und"
 _LETTERS = np.zeros(256, np.uint8)
