@@ -18,7 +18,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -31,6 +30,8 @@ BINS = 1001
 LEAST_BIN = 100
 #: Ranges of ids for each shuffle partition.
 RANGES = 4
+#: Bytes of text handled at once; a longer text is a unit of its own.  Each takes some hundred bytes of arrays.
+UNIT = 1 << 18
 _SCALE = 1024
 _G = np.round(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * _SCALE).astype(np.int64)
 _STEP = np.diff(_G)
@@ -78,7 +79,7 @@ def histogram(docs: DataFrame, text: str = "text") -> np.ndarray:
         found = np.zeros(BINS, np.int64)
         for b in batches:
             data, offsets = utf8(b.column(0))
-            for first, last in units(offsets):
+            for first, last in units(offsets, UNIT):
                 flat, starts, size = spread(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 found += np.bincount(entropy_bins(flat)[valid_windows(flat, starts, size)], minlength=BINS)
         some = np.flatnonzero(found)
@@ -163,7 +164,7 @@ class Chain:
 def chains(texts: list[str], rank: np.ndarray) -> list[Chain]:
     data, offsets = utf8(pa.array(texts, pa.large_string()))
     out: list[Chain] = []
-    for first, last in units(offsets):
+    for first, last in units(offsets, UNIT):
         flat, starts, size = spread(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         row, hashes = features(flat, starts, size, rank)
         ends = np.searchsorted(row, np.arange(last - first + 1))
@@ -200,14 +201,14 @@ def in_sequence(docs: DataFrame, key: str, text: str) -> DataFrame:
     ends = named.stat.approxQuantile("id", [k / (parts * RANGES) for k in range(1, parts * RANGES)], 0.2 / (parts * RANGES)) if parts * RANGES > 1 else []
     bounds = np.unique(np.array(ends, np.int64))
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
+    def search(ids: pa.Array) -> pa.Array:
         # a null id goes before all others
-        found = np.searchsorted(bounds, ids.fillna(np.iinfo(np.int64).min).astype("int64").to_numpy(), "right")
-        return pd.Series(np.where(ids.isna(), -1, found).astype("int32"))
+        found = np.searchsorted(bounds, ids.fill_null(np.iinfo(np.int64).min).to_numpy(), "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), -1, found).astype(np.int32))
 
-    dealt = named.withColumn("dealt", range_of("id"))
-    heads = sorted((r["dealt"], r["head"]) for r in named.select("id").withColumn("dealt", range_of("id")).groupBy("dealt").agg(F.min("id").alias("head")).collect())
+    range_of = F.arrow_udf(search, "int")(F.col("id"))
+    dealt = named.withColumn("dealt", range_of)
+    heads = sorted((r["dealt"], r["head"]) for r in named.select("id").withColumn("dealt", range_of).groupBy("dealt").agg(F.min("id").alias("head")).collect())
     before = [(at, head, heads[k - 1][0]) for k, (at, head) in enumerate(heads)]
     firsts = spark.createDataFrame(before, "at int, head bigint, before int")
     joined = dealt.join(F.broadcast(firsts), F.col("dealt") == F.col("at"))
