@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from netlume.parse import text
 
-from .windows import _changes
+from .windows import key_changes
 
 #: Bytes of a body that are hashed at most; a longer one gives no file.
 MOST = 64 << 20
@@ -109,7 +109,7 @@ def files(segments: DataFrame, keys: list[str], seq: str = "seq", payload: str =
         for b in batches:
             if not b.num_rows:
                 continue
-            fresh, last = _changes([b.column(k) for k in range(n)], last)
+            fresh, last = key_changes([b.column(k) for k in range(n)], last)
             keyed, found = [], []
             for k, (new, data) in enumerate(zip(fresh.tolist(), b.column(n).to_pylist(), strict=True)):
                 if new:

@@ -174,7 +174,7 @@ def reassemble(segments: DataFrame, keys: list[str], offset: str = "tcp_seq", da
         for b in batches:
             if not b.num_rows:
                 continue
-            fresh, last = windows._changes([b.column(k) for k in range(n)], last)
+            fresh, last = windows.key_changes([b.column(k) for k in range(n)], last)
             keyed, streams = [], []
             for k, (new, at, part) in enumerate(zip(fresh.tolist(), b.column(n).to_pylist(), b.column(n + 1).to_pylist(), strict=True)):
                 if new:

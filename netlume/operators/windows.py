@@ -75,7 +75,7 @@ def distinct_by_intervals(df: DataFrame, keys: list[str], value: str, width: int
     return counted.select("row.*", F.col("n").alias(name))
 
 
-def _changes(columns: list[pa.Array], last: tuple | None) -> tuple[np.ndarray, tuple]:
+def key_changes(columns: list[pa.Array], last: tuple | None) -> tuple[np.ndarray, tuple]:
     """Where a key differs from the row before it, and the last key; nulls and NaN are keys like others."""
     n = len(columns[0]) if columns else 0
     fresh = np.zeros(n, bool)
@@ -107,7 +107,7 @@ def fold_in_order(df: DataFrame, keys: list[str], order: list[str], added: str,
             if not b.num_rows:
                 continue
             if keys:
-                fresh, last = _changes([b.column(len(kept) + k) for k in range(len(keys))], last)
+                fresh, last = key_changes([b.column(len(kept) + k) for k in range(len(keys))], last)
             else:
                 fresh, last = np.arange(b.num_rows) == (0 if last == () else -1), None
             made = step([b.column(len(kept) + len(keys) + k) for k in range(len(order))], fresh)

@@ -398,7 +398,7 @@ def scan_streams(segments: DataFrame, keys: list[str], literals: list[bytes], se
         for b in batches:
             if not b.num_rows:
                 continue
-            fresh, last = windows._changes([b.column(k) for k in range(n)], last)
+            fresh, last = windows.key_changes([b.column(k) for k in range(n)], last)
             at, found = [], []
             for k, (new, data) in enumerate(zip(fresh.tolist(), b.column(n + 1).to_pylist(), strict=True)):
                 if new:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from netlume.operators.windows import _changes
+from netlume.operators.windows import key_changes
 
 FRAMES = "path string, frame_no bigint, ts_us bigint, link_type int, frame_len int, raw binary"
 PACKETS = (
@@ -298,7 +298,7 @@ def defragmented(packets: DataFrame, last_wins: bool = False, timeout_us: int =
         for b in batches:
             if not b.num_rows:
                 continue
-            fresh, last = _changes([b.column(k) for k in range(4)], last)
+            fresh, last = key_changes([b.column(k) for k in range(4)], last)
             at, bodies = [], []
             for k, (new, *piece) in enumerate(zip(fresh.tolist(), *(b.column(4 + n).to_pylist() for n in range(4)), strict=True)):
                 if new:
