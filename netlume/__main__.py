@@ -15,7 +15,7 @@ from netlume.sources import feeds
 #: Option: (default, what it is).
 OPTIONS = {
     "rules": ("", "file of rules"), "capture": ("", "captures: a file, a folder or a pattern"), "filter": ("", "packet filter"), "blacklist": ("", "file of denied addresses"), "intel": ("", "reputation feed"),
-    "allow": ("", "allowlist"), "home": ("", "home networks, with commas between"), "suppress": ("15s", "how long a repeated alert stays quiet"), "format": ("text", "text, ndjson or eve"), "output": ("", "folder for alerts; none: the terminal"), "flow-log": ("", "folder for flow records"),
+    "allow": ("", "allowlist"), "home": ("", "home networks, with commas between"), "suppress": ("15s", "how long a repeated alert stays quiet"), "format": ("text", "text, ndjson or eve"), "output": ("", "folder for alerts; none: the terminal"), "flow-log": ("", "folder for flow records"), "work": ("", "folder that all executors share, for tables in between"),
 }
 
 
@@ -56,7 +56,7 @@ def replay(args: list[str]) -> int:
     found, flows = run(spark, given["capture"], Settings(
         rules=rules, filter=given["filter"], denied=feeds.deny_list(spark, given["blacklist"]) if given["blacklist"] else None, indicators=feeds.reputation(spark, given["intel"]) if given["intel"] else None,
         allowed=spark.createDataFrame([(e.get("category"), e.get("src"), e.get("dst"), e.get("port")) for e in entries], "category string, src string, dst string, port int") if entries else None,
-        home=feeds.home_ranges(given["home"]), suppress=feeds.duration(given["suppress"]),
+        home=feeds.home_ranges(given["home"]), suppress=feeds.duration(given["suppress"]), work=given["work"],
     ))
     lines = {"text": render.text_line, "ndjson": render.ndjson, "eve": render.eve}[given["format"]](found)
     if given["output"]:

@@ -1,11 +1,12 @@
 """A capture from end to end: frames, packets, flows, observations, alerts.
 
-Every step is one of the library's operators; this module only says in which order, with the reference order of stages:
+Every step is one of the library's operators; this module only says in which order, with the usual order of stages:
 detectors and signatures are raised, the allowlist drops, suppression thins, feeds tag.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -38,6 +39,20 @@ class Settings:
     #: Changed values of detectors, by name: see detectors.DEFAULTS.
     detectors: dict[str, dict] = field(default_factory=dict)
     suppress: int = 15
+    #: Folder that all executors share, for packets, sessions and streams; all producers of alerts then read those tables.
+    #: Without one, spark.checkpoint.dir is taken; without that too, each producer decodes the capture for itself.
+    work: str = ""
+
+
+def settled(df: DataFrame, name: str, settings: Settings) -> DataFrame:
+    """The rows as a table in the work folder, if there is one; the caller owns the folder."""
+    spark = df.sparkSession
+    top = settings.work or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not top:
+        return df
+    path = f"{top.rstrip('/')}/replay-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def packets(frames: DataFrame, filter_: str = "") -> DataFrame:
@@ -174,9 +189,9 @@ def replay(spark: SparkSession, path: str, settings: Settings | None = None) ->
 
 
 def replay_frames(frames: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
-    found = packets(frames, settings.filter)
-    tcp = tcp_packets(found)
-    joined = streams(tcp)
+    found = settled(packets(frames, settings.filter), "packets", settings)
+    tcp = settled(tcp_packets(found), "sessions", settings)
+    joined = settled(streams(tcp), "streams", settings)
     last = found.agg(F.max("ts_sec").alias("until"))
     log = flows.tcp_flow_log(tcp, ["lo", "hi"]).crossJoin(F.broadcast(last))  # one row
     over = F.col("until") - F.col("end_sec") >= F.when(F.col("pkts_to_client") > 0, flows.IDLE).otherwise(flows.UNANSWERED)

@@ -90,7 +90,7 @@ def test_attacks(spark, attack, want):
     assert [(c, s, a) for c, s, a, _ in got] == [want[:3]] and (got[0][3] in (want[3], None) or want[0] == "HORIZONTAL_SCAN")
 
 
-def test_signatures_feeds_and_records(spark):
+def test_signatures_feeds_and_records(spark, tmp_path):
     w = Wire()
     w.talk(A, V, 1234, 80, [(True, m.http_request("name", 3)), (False, m.http_response("name", 0)), (True, m.http_request("name", 4))])
     w.talk(A, V, 1235, 22, [(True, b"SSH-2.0-evil\r\n")], close=False)
@@ -104,7 +104,7 @@ def test_signatures_feeds_and_records(spark):
     denied = spark.createDataFrame([("9.9.9.9",)], "address string")
     allowed = spark.createDataFrame([("blacklist_ip", None, None, 77)], "category string, src string, dst string, port int")
     frames = spark.createDataFrame([("a", k, ts, 1, len(raw), bytearray(raw)) for k, (ts, raw) in enumerate(w.frames)], "path string, frame_no bigint, ts_us bigint, link_type int, frame_len int, raw binary")
-    alerts, records = replay_frames(frames, Settings(rules=rules, denied=denied, indicators=feeds.reputation_of(lines), allowed=allowed, home=feeds.home_ranges("10.0.0.0/8")))
+    alerts, records = replay_frames(frames, Settings(work=f"file://{tmp_path}", rules=rules, denied=denied, indicators=feeds.reputation_of(lines), allowed=allowed, home=feeds.home_ranges("10.0.0.0/8")))
     got = sorted((r["category"], r["sid"], r["message"], r["direction"]) for r in alerts.collect())
     assert [g[:3] for g in got if g[0] == "SIGNATURE_MATCH"] == [("SIGNATURE_MATCH", k, n) for k, n in ((1, "uri"), (2, "after"), (3, "ssh"), (5, "dns"), (7, "both"))]
     assert [g[0] for g in got if g[0] != "SIGNATURE_MATCH"] == ["BLACKLIST_IP", "THREAT_INTEL"] and {r["src_tag"] for r in alerts.collect() if r["category"] == "BLACKLIST_IP"} == {"net"}
@@ -132,7 +132,7 @@ def test_filter_empty_captures_and_command_line(spark, tmp_path, capsys):
     (tmp_path / "b.pcap").write_bytes(capture.write_pcap_bytes(w.frames))
     (tmp_path / "netlume.conf").write_text(f"capture = file://{tmp_path}/b.pcap\nsuppress = 1m\n")
     (tmp_path / "rules").write_text('rule sid:1; content:"a";\nbroken|x\n')
-    assert cli.main(["replay", "--config", f"{tmp_path}/netlume.conf", "--format", "ndjson", "--flow-log", f"file://{tmp_path}/flows"]) == 0
+    assert cli.main(["replay", "--config", f"{tmp_path}/netlume.conf", "--format", "ndjson", "--flow-log", f"file://{tmp_path}/flows", "--work", f"file://{tmp_path}/work"]) == 0
     out = capsys.readouterr().out
     assert '"category":"PORT_SCAN"' in out and spark.read.text(f"{tmp_path}/flows/*").count() == 30
     assert cli.main(["check", f"{tmp_path}/rules"]) == 1 and cli.main(["template"]) == 0 and "suppress = 15s" in capsys.readouterr().out
