@@ -160,6 +160,25 @@ def sessions_stream(df: DataFrame, keys: list[str], idle: int, sec: str = "ts_se
     return fold_stream(df, keys, [sec, seq], "last bigint, start bigint", step, "session_start bigint", ["session_start"], lambda s: s[0] + idle, event, hold)
 
 
+def scan_stream(df: DataFrame, keys: list[str], literals: list[bytes], idle: int, payload: str = "payload", sec: str = "ts_sec", seq: str = "seq", event: str | None = None, hold: bool = False) -> DataFrame:
+    """Adds found: the literals that a segment completes for the first time in its stream, as matcher.scan_streams().
+
+    State is the literals seen and as many bytes as the longest literal less one, so every byte is read once; a stream that
+    is quiet for `idle` seconds begins anew.
+    """
+    most, names = max(map(len, literals)) - 1, [x.decode("latin-1") for x in literals]
+
+    def step(state, row):
+        now, data = int(row[0]), bytes(row[2]) if row[2] is not None else b""
+        last, tail, seen = state if state is not None and now - state[0] < idle else (now, b"", [])
+        text = (bytes(tail) + data).decode("latin-1")
+        fresh = [x for x in names if x not in seen and x in text]
+        kept = text[len(text) - most :] if most and len(text) > most else text if most else ""
+        return (now, kept.encode("latin-1"), [*seen, *fresh]), fresh
+
+    return fold_stream(df, keys, [sec, seq, payload], "last bigint, tail binary, seen array<string>", step, "found array<string>", ["found"], lambda s: s[0] + idle, event, hold)
+
+
 def run_once(stream: DataFrame, name: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what there is and returns the rows; for tests and catch-up."""
     q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

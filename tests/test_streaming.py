@@ -100,3 +100,18 @@ def test_held_rows_are_taken_in_order_and_state_goes(spark, tmp_path):
     assert state.count() <= 1
     with pytest.raises(ValueError, match="watermark"):
         stateful.gate_stream(stream, ["src"], 10, hold=True)
+
+
+def test_scan_of_growing_streams(spark, tmp_path):
+    from netlume.rules.matcher import scan_streams
+
+    literals = [b"needle", b"ab", b"x"]
+    rows = [(k, k, "s" if k % 3 else "t", part) for k, part in enumerate(["nee", "a", "dle", "b n", "", "eedle", "x", "needle", None, "abx"])]
+    schema = "ts_sec bigint, seq bigint, src string, text string"
+    plain = spark.createDataFrame(rows, schema).select("seq", "ts_sec", "src", F.col("text").cast("binary").alias("payload"))
+    for k in range(0, 10, 4):
+        spark.createDataFrame(rows[k : k + 4], schema).coalesce(1).write.mode("append").json(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema(schema).json(f"file://{tmp_path}/in").withColumn("payload", F.col("text").cast("binary")).drop("text")
+    got = stateful.run_once(stateful.scan_stream(stream, ["src"], literals, 100), "scanned", f"file://{tmp_path}/c")
+    found = {(r["src"], x, r["seq"]) for r in got.collect() for x in r["found"]}
+    assert found == {(r["src"], bytes(r["literal"]).decode(), r["seq"]) for r in scan_streams(plain, ["src"], literals).collect()} and len(found) == 3
