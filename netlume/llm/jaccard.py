@@ -43,6 +43,8 @@ COUNTED = 64
 KIDS = 8
 #: The sketch has 2^BITS counts, dealt in PIECES; it is the only thing that goes to the driver, and from there to all tasks as a byte for each count.
 BITS, PIECES = 21, 64
+#: Bytes of text hashed at once; a longer text is a unit of its own.
+UNIT = 1 << 18
 #: First n-grams that a task gathers to a batch.
 HELD = 1 << 19
 #: A shuffled n-gram keeps its upper 48 bits; 15 bits hold its set's size, 512 steps for each doubling, and one its place.
@@ -325,7 +327,7 @@ def near_by_counts(sizes: np.ndarray, counts: list[bytes], roots: np.ndarray, nu
 
 def sets_of(column: pa.Array, size: int) -> Iterator[np.ndarray]:
     data, offsets = utf8(column)
-    for first, last in units(offsets):
+    for first, last in units(offsets, UNIT):
         yield from ngram_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size)
 
 
@@ -451,7 +453,7 @@ def join_blocks(sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
         for b in batches:
             data, offsets = utf8(b.column(2))
             tasks, wanted = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for first, last in units(offsets):
+            for first, last in units(offsets, UNIT):
                 for k, s in enumerate(ngram_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], size), first):
                     if tasks[k] != task:
                         yield links()

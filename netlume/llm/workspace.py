@@ -4,10 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that go to a Python worker at once while a table is written: texts are long, and each side of the pipe holds a batch.
+BATCH_ROWS = 1_000
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_ROWS at most for what runs inside; the session's own setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, with this application's own folder under it.
 
@@ -28,7 +47,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table and read again: the lineage ends there, and a lost executor costs no recomputation."""
-    df.write.parquet(path := scratch(df.sparkSession, name))
+    with bounded_batches(df.sparkSession):
+        df.write.parquet(path := scratch(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -50,7 +70,8 @@ class Tables:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(path := scratch(self.spark, name))
-        df.write.parquet(path)
+        with bounded_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
