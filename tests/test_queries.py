@@ -61,3 +61,13 @@ def test_whole_terms_on_bytes(spark, tmp_path):
         want = [k for k, t in enumerate(texts) if t is not None and says(t.encode())]
         assert sorted(r["doc_id"] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()) == want, name
         assert sorted(r[0] for r in con.execute(catalogue.oracle_sql()[name]).fetchall()) == want, name
+
+
+def test_deny_list_of_large_keys(spark, tmp_path):
+    ends = [(3, '{"k": 4}'), (10_006, '{"k": 1}'), (10_007, '{"k": 70003}'), (7 * 10**12 + 3, '{"k": 7000000000000003}'), (-4, '{"k": -11}'), (None, '{"k": 10}'), (10_013, "{}")]
+    rows = [(n, user, "view", 1.0, props) for n, (user, props) in enumerate(ends)]
+    spark.createDataFrame(rows, "event_id bigint, user_id bigint, event_type string, value double, props string").selectExpr("*", "timestamp_ntz'2024-01-01 00:00:00' AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(catalogue.oracle_sql()["d15_deny_list"]).fetchall())
+    assert sorted(map(tuple, catalogue.queries()["d15_deny_list"](spark, str(tmp_path)).collect())) == want and len(want) == 7
