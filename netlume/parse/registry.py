@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from . import auth, binary, quic, text
 
@@ -20,6 +24,9 @@ PARSERS: dict[str, tuple[Callable, str]] = {
     "tftp": (binary.tftp, "opcode string, filename string"), "snmp_community": (binary.snmp_community, "string"), "dnp3_function": (binary.dnp3_function, "string"), "file_identity": (text.file_identity, "size bigint, md5 string, sha256 string, type string, description string"),
 }
 
+#: Parsers that take many messages at once, beside the same parser of one: lists of bytes or None, and of results.
+BATCHES: dict[str, Callable[[list], list]] = {"quic_initial": quic.quic_initials}
+
 # Names of rule buffers, the parsers whose fields fill them (None: the whole result), and the side that they are of.
 BUFFERS: dict[str, tuple[list[tuple[str, str | None]], str]] = {
     "http.method": ([("http_request", "method")], "to_server"), "http.uri": ([("http_request", "uri")], "to_server"), "http.host": ([("http_request", "host")], "to_server"), "http.user_agent": ([("http_request", "user_agent")], "to_server"),
@@ -56,11 +63,15 @@ GATES = {"dns_question": (53,), "kerberos": (88,), "ldap": (389, 3268), "dcerpc"
 
 def register(name: str, parser: Callable, kind: str) -> None:
     PARSERS[name] = (parser, kind)
+    BATCHES.pop(name, None)
 
 
 def parsed(name: str, data: Column) -> Column:
     """A parser's result as a column; null where it recognises nothing."""
     parser, kind = PARSERS[name]
+    if many := BATCHES.get(name):
+        arrow = to_arrow_type(DataType.fromDDL(kind))
+        return F.arrow_udf(lambda b: pa.array(many(b.to_pylist()), arrow), kind, ArrowUDFType.SCALAR)(data)
     one = F.udf(lambda b: parser(bytes(b)) if b is not None else None, kind, useArrow=True)
     return one(data)
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from netlume.parse.registry import parsed
 
@@ -21,6 +23,10 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def built(spark: SparkSession, sf_dir: str, build: Callable[[str, int], bytes], kind: str = "binary") -> DataFrame:
     """k, n and the message of each row."""
+    if many := messages.BATCHES.get(build):
+        one = F.arrow_udf(lambda n, k: pa.array(many(n.to_pylist(), k.to_pylist()), pa.binary()), kind, ArrowUDFType.SCALAR)
+        # such a message costs far more than its row: all cores share them, however few row groups the table has
+        return rows(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism).withColumn("m", one("n", "k"))
     return rows(spark, sf_dir).withColumn("m", F.udf(build, kind, useArrow=True)("n", "k"))
 
 

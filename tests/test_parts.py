@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from netlume.functions import scalars
 from netlume.operators import bodies, enrich, flows, observe
 from netlume.parse import auth, quic, text
-from netlume.plans import messages
+from netlume.plans import catalogue, messages
 from netlume.rules.matcher import RuleSet, match
 from netlume.rules.parser import parse_rules
 from netlume.rules.state import alerts
@@ -113,6 +113,24 @@ def test_quic_against_the_published_example():
     assert quic.hello_of([(p["offset"], p["data"]) for p in pieces])["sni"] == "split" and quic.hello_of([(p["offset"], p["data"]) for p in pieces[1:]]) is None
 
 
+def test_quic_packets_share_the_cipher(monkeypatch):
+    """Many packets, some of them broken, give what each gives alone, in a few runs of the cipher for all."""
+    packets = messages.quic_initials([f"name-{k}" for k in range(300)], list(range(300)))
+    packets += [None, b"", b"\xc3" * 70, *(p[: 40 + k] for k, p in enumerate(packets[:150])), *(p[:k] + bytes([p[k] ^ 4]) + p[k + 1 :] for k, p in enumerate(packets[:200]))]
+    packets += [quic.sealed_initial(b"12345678", [(0, bytes(n))], number=n, least=n) for n in (0, 15, 1162, 60_000)]
+    alone = [quic.quic_initial(p) if p is not None else None for p in packets]
+    assert [a["sni"] for a in alone[:300]] == [f"name-{k}" for k in range(300)] and alone[300:303] == [None] * 3
+    runs, plain = [], quic.aes128
+    monkeypatch.setattr(quic, "aes128", lambda *a: runs.append(1) or plain(*a))
+    assert quic.quic_initials(packets) == alone and len(runs) <= 10
+
+
+def test_quic_query_uses_all_cores(spark, tmp_path):
+    spark.range(100).selectExpr("id AS c_custkey", "concat('Customer#', id) AS c_name").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    found = catalogue.queries()["p12_quic_initial"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and found.filter("sni = concat('customer-', k)").count() == 100
+
+
 def test_logins():
     assert auth.attempt(b"USER x\r\n", 21) == "FTP" and auth.attempt(messages.rdp("bob", 1), 3389) == "RDP" and auth.attempt(messages.kerberos("x", 1), 99) is None and auth.attempt(b"junk", 21) is None
     assert auth.refusals(b"530 a\r\n530 b\r\n", 21) == ["FTP", "FTP"] and auth.refusals(b"530 a\r\n", 22) == [] and auth.refusals(messages.ldap("x", 3), 389) == ["LDAP"]
