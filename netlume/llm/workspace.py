@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,10 +46,22 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Writes a table to a new path without a process that the driver starts.
+
+    Where Hadoop has no native library, a driver that makes a folder or a mark of success on a disk starts a process to
+    set its permissions, and for that moment the driver's memory shows twice.  So folders on a disk are made here, with
+    those of Spark's committer, and no mark is written: these tables are read by the one that wrote them.
+    """
+    if path.startswith("file:/"):
+        os.makedirs(f"/{path[5:].lstrip('/')}/_temporary/0")
+    with bounded_batches(df.sparkSession):
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").mode("append").parquet(path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a table and read again: the lineage ends there, and a lost executor costs no recomputation."""
-    with bounded_batches(df.sparkSession):
-        df.write.parquet(path := scratch(df.sparkSession, name))
+    write(df, path := scratch(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,8 +83,7 @@ class Tables:
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         self.paths.append(path := scratch(self.spark, name))
-        with bounded_batches(self.spark):
-            df.write.parquet(path)
+        write(df, path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self) -> None:
