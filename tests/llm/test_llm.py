@@ -691,15 +691,11 @@ def test_later_batches_find_what_earlier_ones_stored(spark, tmp_path, monkeypatc
     assert spark.read.parquet(cache).count() == 5
 
 
-def test_tables_are_written_without_processes_of_the_driver(spark, tmp_path):
+def test_tables_are_written_without_processes_of_the_driver(spark, tmp_path, monkeypatch):
     """A mark of success, as each folder that Spark makes on a disk, costs the driver a process."""
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}/a b%20c")
-    try:
-        with workspace.Tables(spark) as keep:
-            tables = [keep.written(spark.range(0, 100, 1, 4), "some"), keep.written(spark.range(5).filter("id > 9"), "none"), workspace.written(spark.range(7), "kept")]
-            assert [t.count() for t in tables] == [100, 0, 7]
-            names = {p.name for p in tmp_path.rglob("*")}
-            assert "a b%20c" in names and not names & {"_SUCCESS", "_temporary"}
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert sum(p.name.startswith("part-") for p in tmp_path.rglob("*")) > 0
+    monkeypatch.setattr(workspace, "shared_dir", lambda _: f"file://{tmp_path}/a b%20c")
+    with workspace.Tables(spark) as keep:
+        tables = [keep.written(spark.range(0, 100, 1, 4), "some"), keep.written(spark.range(5).filter("id > 9"), "none"), workspace.written(spark.range(7), "kept")]
+        assert [t.count() for t in tables] == [100, 0, 7]
+        names = {p.name for p in tmp_path.rglob("*")}
+        assert "a b%20c" in names and not names & {"_SUCCESS", "_temporary"}
