@@ -16,15 +16,17 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import workspace
 
-#: Words kept by one Python worker with their counts; the memory is emptied when it is full.
-WORDS_KEPT = 600_000
+#: Words kept by one Python worker with their counts; when the memory is full, those met in one unit of texts only go.
+WORDS_KEPT = 100_000
+#: Texts encoded at once; the library's encodings of all their new words are there together.
+UNIT_TEXTS = 128
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens bigint"
 
 
@@ -67,6 +69,7 @@ class Counter:
         self.chunked = splits_at_spaces(json.loads(definition))
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.known: dict[str, int] = {}
+        self.again: set[str] = set()
 
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
@@ -75,7 +78,7 @@ class Counter:
         if not self.chunked:
             return self.whole(texts)
         out, known = [0] * len(texts), self.known
-        odd, plain, lacking = [], [], set()
+        odd, plain, words = [], [], set()
         for k, text in enumerate(texts):
             chunks = text.split(" ")
             if "" in chunks or any(s in text for s in self.special):
@@ -83,17 +86,19 @@ class Counter:
                     odd.append(k)
                 continue
             plain.append((k, chunks))
-            lacking.update(set(chunks[1:]).difference(known))
+            words.update(chunks[1:])
+        lacking = [w for w in words if w not in known]
+        self.again.update(words.difference(lacking))
         if lacking:
-            words = list(lacking)
-            known.update(zip(words, self.whole([f" {w}" for w in words]), strict=True))
+            known.update(zip(lacking, self.whole([f" {w}" for w in lacking]), strict=True))
         firsts = self.whole([chunks[0] for _, chunks in plain])
         for (k, chunks), first in zip(plain, firsts, strict=True):
             out[k] = first + sum(map(known.__getitem__, chunks[1:]))
         for k, n in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
             out[k] = n
         if len(known) > WORDS_KEPT:
-            known.clear()
+            self.known = {w: known[w] for w in self.again} if len(self.again) <= WORDS_KEPT // 2 else {}
+            self.again = set()
         return out
 
 
@@ -103,33 +108,33 @@ def counter_of(definition: bytes) -> Counter | PieceCounter:
     return Counter(definition) if definition.lstrip()[:1] == b"{" else PieceCounter(definition)
 
 
-def append_misses(docs: DataFrame, definition: bytes, cache: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Appends the counts of contents that the cache at this path lacks; returns (key, n_bytes, digest) of all rows."""
-    spark = docs.sparkSession
+def append_misses(named: DataFrame, keyed: DataFrame, definition: bytes, cache: str) -> None:
+    """Appends the counts of contents that the cache at this path lacks: named has (key, content), keyed (key, digest)."""
+    spark = named.sparkSession
     version = hashlib.sha256(definition).digest()
-    content = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select(F.col(key).alias("key"), content.alias("content"))
-    keyed = named.select("key", F.unhex(F.sha2("content", 256)).alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes"))
-    keyed = workspace.written(keyed, "digests")
-    lacking = keyed.groupBy("digest").agg(F.min(F.struct("n_bytes", "key")).alias("first"))
+    lacking = keyed.groupBy("digest").agg(F.min("key").alias("key"))
     if workspace.exists(spark, cache):
         stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == F.lit(version))
         lacking = lacking.join(stored, "digest", "left_anti")
-    chosen = lacking.select(F.col("first.key").alias("key"), F.col("digest").alias("wanted"))
-    texts = named.join(chosen, named["key"].eqNullSafe(chosen["key"])).filter(F.unhex(F.sha2("content", 256)) == F.col("wanted"))
+    # the table of a partition holds ids and digests only; texts pass it unsorted, and rows that share an id are dealt out
+    chosen = lacking.select(F.col("key").alias("first"), F.col("digest").alias("wanted")).hint("shuffle_hash")
+    texts = named.withColumn("digest", digest_of("content"))
+    texts = texts.join(chosen, texts["key"].eqNullSafe(chosen["first"]) & (texts["digest"] == chosen["wanted"]))
     shared = spark.sparkContext.broadcast(definition)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(shared.value)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for at in range(0, b.num_rows, UNIT_TEXTS):
+                part = b.slice(at, UNIT_TEXTS)
                 n = counter.counts(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([version] * len(n), pa.binary()), part.column(0), pa.array(n, pa.int64())], ["tokenizer", "digest", "n_tokens"])
 
-    counted = texts.select("wanted", "content").mapInArrow(encode, CACHE_SCHEMA)
-    counted.write.mode("append").parquet(cache)
-    return keyed
+    workspace.write(texts.select("digest", "content").mapInArrow(encode, CACHE_SCHEMA), cache)
+
+
+def digest_of(content: str) -> F.Column:
+    return F.unhex(F.sha2(content, 256))
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 1024, key: str = "doc_id", text: str = "text", batches: int = 1) -> DataFrame:
@@ -141,8 +146,12 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     definition = tokenizer_bytes(path)
     version = hashlib.sha256(definition).digest()
     cache = cache or workspace.scratch(spark, "token-counts")
-    batch = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(batches))
-    keyed = reduce(DataFrame.unionAll, [append_misses(docs if batches == 1 else docs.filter(batch == k), definition, cache, key, text) for k in range(batches)])
+    named = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    batch = F.pmod(F.xxhash64(F.col("key").cast("string")), F.lit(batches))
+    with workspace.bounded_scans(spark):
+        keyed = workspace.written(named.select("key", digest_of("content").alias("digest"), F.octet_length("content").cast("bigint").alias("n_bytes")), "digests")
+        for k in range(batches):
+            append_misses(*((x if batches == 1 else x.filter(batch == k)) for x in (named, keyed)), definition, cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).filter(F.col("tokenizer") == F.lit(version))
     # written, so that the join deals both sides on its own and can split a digest that very many rows have
     stored = workspace.written(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "stored")

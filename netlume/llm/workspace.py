@@ -6,28 +6,37 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 #: Rows that go to a Python worker at once while a table is written: texts are long, and each side of the pipe holds a batch.
 BATCH_ROWS = 1_000
+#: Rows that a scan of whole texts decodes at once: its buffers hold that many texts and grow by doubling.
+SCAN_ROWS = 256
 
 
 @contextmanager
-def bounded_batches(spark: SparkSession) -> Iterator[None]:
-    """Batches of BATCH_ROWS at most for what runs inside; the session's own setting comes back."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def at_most(spark: SparkSession, name: str, most: int) -> Iterator[None]:
+    """This number of rows at most in the session's setting for what runs inside; the session's own comes back."""
     before = spark.conf.get(name)
-    if not 0 < int(before) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    if not 0 < int(before) <= most:
+        spark.conf.set(name, str(most))
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def bounded_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    return at_most(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def bounded_scans(spark: SparkSession) -> AbstractContextManager[None]:
+    return at_most(spark, "spark.sql.parquet.columnarReaderBatchSize", SCAN_ROWS)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, with this application's own folder under it.
 
@@ -47,14 +56,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def write(df: DataFrame, path: str) -> None:
-    """Writes a table to a new path without a process that the driver starts.
+    """Writes a table, or adds to one, without a process that the driver starts.
 
     Where Hadoop has no native library, a driver that makes a folder or a mark of success on a disk starts a process to
     set its permissions, and for that moment the driver's memory shows twice.  So folders on a disk are made here, with
     those of Spark's committer, and no mark is written: these tables are read by the one that wrote them.
     """
     if path.startswith("file:/"):
-        os.makedirs(f"/{path[5:].lstrip('/')}/_temporary/0")
+        os.makedirs(f"/{path[5:].lstrip('/')}/_temporary/0", exist_ok=True)
     with bounded_batches(df.sparkSession):
         df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").mode("append").parquet(path)
 

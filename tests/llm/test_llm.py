@@ -699,3 +699,35 @@ def test_tables_are_written_without_processes_of_the_driver(spark, tmp_path, mon
         assert [t.count() for t in tables] == [100, 0, 7]
         names = {p.name for p in tmp_path.rglob("*")}
         assert "a b%20c" in names and not names & {"_SUCCESS", "_temporary"}
+
+
+def test_texts_reach_the_counter_unsorted_and_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """Sorted texts, wide scans and batches of 10,000 texts once took the executor's memory."""
+    path, cache, written, write = P.path("byte_bpe_50k.json"), f"file://{tmp_path}/cache", [], workspace.write
+    scan, batch = "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = [spark.conf.get(x) for x in (scan, batch)]
+
+    def noted(df, to):
+        written.append((to, df._jdf.queryExecution().executedPlan().toString(), int(spark.conf.get(scan))))
+        write(df, to)
+
+    monkeypatch.setattr(workspace, "write", noted)
+    texts = [f"word{k % 7} and more" for k in range(40)]
+    df = spark.createDataFrame([(None if k % 4 == 0 else k // 3, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted(r["n_tokens"] for r in tokens.count_tokens(df, path, cache, batches=2).collect())
+    library = Tokenizer.from_file(str(path))
+    assert got == sorted(len(library.encode(t, add_special_tokens=False).ids) for t in texts)
+    appended = [(plan, rows) for to, plan, rows in written if to == cache]
+    assert len(appended) == 2 and all("ShuffledHashJoin" in plan and rows <= workspace.SCAN_ROWS for plan, rows in appended)
+    assert not (tmp_path / "cache/_SUCCESS").exists()
+    assert before == [spark.conf.get(x) for x in (scan, batch)]
+
+
+def test_a_full_memory_of_words_keeps_those_that_come_again(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS_KEPT", 50)
+    path = P.path("byte_bpe_50k.json")
+    counter, library = tokens.Counter(tokens.tokenizer_bytes(path)), Tokenizer.from_file(str(path))
+    for k in range(20):
+        texts = [f"the usual words {k} once{k}x{n} and once{n}y{k}" for n in range(5)]
+        assert counter.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert len(counter.known) <= 70 and (k == 0 or {"usual", "words", "and"} <= counter.known.keys())
